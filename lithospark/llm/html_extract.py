@@ -185,12 +185,12 @@ def main_text(page: str) -> str:
         return out
 
     before, after = nearest(range(n)), nearest(range(n - 1, -1, -1))
-    for i, (_, links, _, article) in enumerate(blocks):
+    for i, (_, _, _, article) in enumerate(blocks):
         if labels[i] is not None:
             continue
         near = [x for x in (before[i], after[i]) if x is not None]
         if not near or not good:
-            decided[i] = bool(article) or not inside and not links
+            decided[i] = bool(article) or not inside
         else:
             distance = min(abs(j - i) for j, _ in near)
             found = {text for j, text in near if abs(j - i) == distance}
