@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lithospark.llm.decontaminate import decontaminate
 from lithospark.llm.feistel_shards import feistel_shards
 from lithospark.llm.html_extract import extract_main_text
+from lithospark.llm.quality import fit_quality, score_quality
 from lithospark.llm.token_counts import token_counts
 
 
@@ -17,6 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out(key: str = "doc_id") -> Column:
+    """The fold that no model learns from."""
+    return F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_quality(docs, table(spark, sf_dir, "labels"), held_out())
+    scored = score_quality(docs, model)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     digest = docs.select(
@@ -56,6 +69,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_quality_classifier": op2_quality_classifier,
         "op5_sharding": op5_sharding,
         "op8_token_counts": op8_token_counts,
         "op9_decontamination": op9_decontamination,
