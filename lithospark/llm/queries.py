@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lithospark.llm.decontaminate import decontaminate
 from lithospark.llm.feistel_shards import feistel_shards
 from lithospark.llm.html_extract import extract_main_text
+from lithospark.llm.jaccard_join import jaccard_components
 from lithospark.llm.quality import fit_quality, score_quality
 from lithospark.llm.token_counts import token_counts
 
@@ -18,6 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def held_out(key: str = "doc_id") -> Column:
     """The fold that no model learns from."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0
@@ -69,6 +74,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
         "op2_quality_classifier": op2_quality_classifier,
         "op5_sharding": op5_sharding,
         "op8_token_counts": op8_token_counts,

@@ -153,8 +153,8 @@ def grams(words: np.ndarray, k: int, seed: int) -> np.ndarray:
 def sequence_hash(words: np.ndarray, seed: int) -> int:
     """One hash of a whole sequence, apart from those of grams."""
     factors = stream(seed, len(words)) | U64(1)
-    total = np.sum(words * factors, dtype=U64) + U64(0xA5A5A5A5A5A5A5A5) * U64(len(words) + 1)
-    return int(mix64(np.array([total], U64))[0])
+    total = int(np.sum(words * factors, dtype=U64)) + 0xA5A5A5A5A5A5A5A5 * (len(words) + 1)
+    return int(mix64(np.array([total % 2**64], U64))[0])
 
 
 def lower_ascii() -> np.ndarray:
