@@ -12,6 +12,7 @@ from lithospark.llm.feistel_shards import feistel_shards
 from lithospark.llm.html_extract import extract_main_text
 from lithospark.llm.jaccard_join import jaccard_components
 from lithospark.llm.quality import fit_quality, score_quality
+from lithospark.llm.substring_dedup import substring_dedup
 from lithospark.llm.token_counts import token_counts
 
 
@@ -46,6 +47,11 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_no", "position")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stripped = substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), window=20)
+    return stripped.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str = "byte_bpe_50k.json", limit: int = 512) -> DataFrame:
     import public_tokenizers
 
@@ -77,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
         "op2_quality_classifier": op2_quality_classifier,
         "op5_sharding": op5_sharding,
+        "op6_substring_dedup": op6_substring_dedup,
         "op8_token_counts": op8_token_counts,
         "op9_decontamination": op9_decontamination,
         "op10_html_extraction": op10_html_extraction,
