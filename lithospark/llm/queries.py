@@ -14,6 +14,7 @@ from lithospark.llm.jaccard_join import jaccard_components
 from lithospark.llm.quality import fit_quality, score_quality
 from lithospark.llm.substring_dedup import substring_dedup
 from lithospark.llm.token_counts import token_counts
+from lithospark.llm.vamana import nearest
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +53,11 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stripped.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(vectors, F.col("vec_id") % 20 == 0, neighbours=20)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str = "byte_bpe_50k.json", limit: int = 512) -> DataFrame:
     import public_tokenizers
 
@@ -84,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality_classifier": op2_quality_classifier,
         "op5_sharding": op5_sharding,
         "op6_substring_dedup": op6_substring_dedup,
+        "op7_nearest_neighbours": op7_nearest_neighbours,
         "op8_token_counts": op8_token_counts,
         "op9_decontamination": op9_decontamination,
         "op10_html_extraction": op10_html_extraction,
