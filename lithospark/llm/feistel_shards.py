@@ -1,9 +1,7 @@
 """Reproducible shuffle into shards by a Feistel permutation of global row numbers.
 
 Rows are numbered in the order of a 64-bit hash of their content, so the number
-depends on the table alone and not on files or partitions. Equal rows are
-counted before the shuffle, in runs of RUN copies, and spread again afterwards:
-a row that makes up a third of the table moves as a handful of counts. The
+depends on the table alone and not on files or partitions (see rownumbers). The
 number goes through a permutation of 0..n-1 (six rounds over Z_a x Z_b with
 a*b >= n, cycle walking back into range); position p belongs to shard p mod s
 at slot p div s. Shard and slot of any row number can therefore be computed
@@ -14,15 +12,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lithospark.session import cut
+from lithospark.llm.rownumbers import RUN, numbered, quotient
 
 ROUNDS = 6
-RUN = 1000
-#: Number ranges by the top bits of the hash: the offset table has at most this many rows.
-BUCKET_BITS = 16
 
 
 def halves(n: int) -> tuple[int, int]:
@@ -31,11 +26,6 @@ def halves(n: int) -> tuple[int, int]:
     return a, max(1, -(-n // a))
 
 
-def quotient(x: Column, by: int) -> Column:
-    """x div by; exact below 2^53, as the dividend is a multiple."""
-    return ((x - x % F.lit(by)) / F.lit(by)).cast("long")
-
-
 def _once(x: Column, n: int, seed: int) -> Column:
     a, b = halves(n)
     right = x % F.lit(b)
@@ -79,31 +69,12 @@ def feistel_shards(df: DataFrame, shards: int, seed: int = 2024, run: int = RUN)
     if clash := added & {c.lower() for c in df.columns}:
         raise ValueError(f"columns {sorted(clash)} would clash with the added ones")
     columns = [f"c{i}" for i in range(len(df.columns))]
-    rows = df.toDF(*columns)
-    counted = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("copies"))
-    runs = (
-        counted.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / F.lit(run)).cast("int"))).alias("run_no"))
-        .withColumn("size", F.least(F.lit(run).cast("long"), F.col("copies") - F.col("run_no") * F.lit(run).cast("long")))
-        .withColumn("hash", F.xxhash64(*columns, F.col("run_no")))
-        .withColumn("bucket", F.shiftrightunsigned("hash", 64 - BUCKET_BITS).cast("int"))
-        .drop("copies")
-    )
-    runs = cut(runs)  # counted once; what follows reads the counts again
-    # At most 2^16 rows: the running sum over them is bounded, whatever the table's size.
-    sizes = runs.groupBy("bucket").agg(F.sum("size").alias("total"))
-    n = sizes.agg(F.sum("total")).first()[0]
+    rows, sizes = numbered(df.toDF(*columns), run=run)
+    n = sum(sizes.values())
     if not n:
         return df.select("*", *(F.lit(0).cast(t).alias(c) for c, t in (("row_no", "long"), ("position", "long"), ("shard", "int"), ("slot", "long")))).limit(0)
-    earlier = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    start = sizes.select("bucket", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("start"))
-    order = Window.partitionBy("bucket").orderBy("hash", *columns, "run_no").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = (
-        runs.withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0)))
-        .join(F.broadcast(start), "bucket")
-        .select(*columns, F.explode(F.sequence(F.col("start") + F.col("before"), F.col("start") + F.col("before") + F.col("size") - 1)).alias("row_no"))
-        .withColumn("position", permuted(F.col("row_no"), n, seed))
-    )
-    return numbered.select(
+    dealt = rows.withColumn("position", permuted(F.col("row_no"), n, seed))
+    return dealt.select(
         *(F.col(c).alias(name) for c, name in zip(columns, df.columns, strict=True)),
         "row_no",
         "position",

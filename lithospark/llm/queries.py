@@ -11,7 +11,9 @@ from lithospark.llm.decontaminate import decontaminate
 from lithospark.llm.feistel_shards import feistel_shards
 from lithospark.llm.html_extract import extract_main_text
 from lithospark.llm.jaccard_join import jaccard_components
+from lithospark.llm.packing import pack, word_lengths
 from lithospark.llm.quality import fit_quality, score_quality
+from lithospark.llm.quotes import link_quotes
 from lithospark.llm.substring_dedup import substring_dedup
 from lithospark.llm.token_counts import token_counts
 from lithospark.llm.vamana import nearest
@@ -37,6 +39,14 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op3_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_quotes(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(word_lengths(table(spark, sf_dir, "documents").select("doc_id", "text")), buckets=8, budget=16_384)
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     digest = docs.select(
@@ -88,6 +98,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
         "op2_quality_classifier": op2_quality_classifier,
+        "op3_quotation_linking": op3_quotation_linking,
+        "op4_packing": op4_packing,
         "op5_sharding": op5_sharding,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_nearest_neighbours": op7_nearest_neighbours,
