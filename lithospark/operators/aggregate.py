@@ -79,13 +79,18 @@ def space_estimate(files: DataFrame, size: str, expected: int | None = None, blo
 
 
 def chained_digest(entries: DataFrame, group: list[str], order: str, data: str, ids: list[int] | None = None) -> DataFrame:
-    """SHA-256 over a few payloads of each group joined in order; ids picks them, which bounds what is gathered."""
+    """SHA-256 over the payloads of each group joined in order: (group, digest of the bytes, hex_digest of their hex text).
+
+    ids picks a few entries and gives their order, which bounds what is gathered.
+    """
+    place = F.col(order) if ids is None else F.array_position(F.array(*(F.lit(i).cast("long") for i in ids)), F.col(order))
     chosen = entries if ids is None else entries.where(F.col(order).isin(ids))
-    parts = F.sort_array(F.collect_list(F.struct(order, data)))
-    return chosen.groupBy(*group).agg(F.sha2(F.array_join(F.transform(parts, lambda p: F.hex(p[data])), ""), 256).alias("hex_digest"), F.sha2(F.unhex(F.array_join(F.transform(parts, lambda p: F.hex(p[data])), "")), 256).alias("digest"))
+    parts = F.sort_array(F.collect_list(F.struct(place.alias("place"), data)))
+    text = F.array_join(F.transform(parts, lambda p: F.hex(p[data])), "")
+    return chosen.groupBy(*group).agg(F.sha2(F.unhex(text), 256).alias("digest"), F.sha2(text, 256).alias("hex_digest"))
 
 
-def region_digest(pieces: DataFrame, group: str = "file", order: str = "offset", data: str = "data") -> DataFrame:
+def region_digest(pieces: DataFrame, group: str = "key", order: str = "offset", data: str = "data") -> DataFrame:
     """SHA-256 of a region from its pieces, in the order of their offsets.
 
     Pieces are sorted within partitions and streamed, so a region of any size

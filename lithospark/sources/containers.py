@@ -3,8 +3,9 @@
 A relation reads only its own bytes: the block table of a container never
 touches payloads. Files are opened where the reader runs, through Arrow's file
 systems (local paths and the schemes these know), and are read by seeking;
-blocks of one container are dealt over several partitions. Filters on file are
-applied before a file is opened, given spark.sql.python.filterPushdown.enabled.
+blocks of one container are dealt over several partitions. The option only names
+the files to open. Filters are not taken over from the query: in Spark 4.1 a
+frame that was read with a pushed filter keeps it in later, unfiltered reads.
 
 A damaged file fails the query, unless the option onError is "row": then
 relations give no rows for it, and the relation sweep tells why.
@@ -16,7 +17,7 @@ from collections.abc import Iterator, Sequence
 
 import pyarrow.fs as fs
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from lithospark.sources import layouts
@@ -35,6 +36,7 @@ RELATIONS: dict[str, tuple[str, object]] = {
     ),
     "names": ("ordinal long, offset long, name string", layouts.package_names),
     "payloads": ("ordinal long, id long, is_encrypted boolean, in_bounds boolean, data binary", layouts.entry_payloads),
+    "regions": ("region string, offset long, data binary", layouts.package_regions),
     "image_header": (
         "version long, magic long, id long, fmode short, clean short, read_only short, rsv short, mode int, unk1 int, block_size long, nbackup long, nblock long, dinode_count long, ndblock long, "
         "dinode_block_count long, seed binary, file_size long",
@@ -95,22 +97,13 @@ def found(path: str, suffix: str) -> list[tuple[str, int]]:
 
 
 class StrataReader(DataSourceReader):
-    def __init__(self, relation: str, path: str, suffix: str, lenient: bool):
-        self.relation, self.path, self.suffix, self.lenient = relation, path, suffix, lenient
-        self.only: set[str] | None = None
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            wanted = {f.value} if isinstance(f, EqualTo) else set(f.value) if isinstance(f, In) else None
-            if wanted is not None and f.attribute == ("file",):
-                self.only = wanted if self.only is None else self.only & wanted
-            else:
-                yield f
+    def __init__(self, relation: str, path: str, suffix: str, lenient: bool, only: set[str]):
+        self.relation, self.path, self.suffix, self.lenient, self.only = relation, path, suffix, lenient, only
 
     def partitions(self) -> Sequence[InputPartition]:
         parts: list[Part] = []
         for path, size in found(self.path, self.suffix):
-            if self.only is not None and path not in self.only:
+            if self.only and path not in self.only:
                 continue
             if self.relation in ("container_table", "container_blocks"):
                 try:
@@ -167,7 +160,7 @@ class _open:
 
 
 class StrataSource(DataSource):
-    """Options: relation (see RELATIONS), path, suffix (of file names), onError (fail or row)."""
+    """Options: relation (see RELATIONS), path, suffix (of file names), only (files to open, one a line), onError (fail or row)."""
 
     @classmethod
     def name(cls) -> str:
@@ -183,7 +176,7 @@ class StrataSource(DataSource):
         return "file string, " + RELATIONS[self._relation()][0]
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return StrataReader(self._relation(), self.options["path"], self.options.get("suffix", ""), self.options.get("onerror", self.options.get("onError", "fail")) == "row")
+        return StrataReader(self._relation(), self.options["path"], self.options.get("suffix", ""), self.options.get("onerror", self.options.get("onError", "fail")) == "row", set(filter(None, self.options.get("only", "").split("\n"))))
 
 
 def register(spark: SparkSession) -> None:

@@ -121,6 +121,19 @@ def entry_payloads(read: Read, size: int) -> Iterator[dict]:
         yield {"ordinal": e["ordinal"], "id": e["id"], "is_encrypted": e["is_encrypted"], "in_bounds": fits, "data": data}
 
 
+#: Bytes of a region that one row holds.
+PIECE = 1 << 20
+
+
+def package_regions(read: Read, size: int) -> Iterator[dict]:
+    """What the header's digests cover, in pieces: the header itself, the body before the image, the image, and its first block."""
+    head = package_header(read, size)
+    image, end = head["pfs_image_offset"], head["pfs_image_offset"] + head["pfs_image_size"]
+    for name, first, last in (("header_digest", 0, 0xFE0), ("body_digest", 0x2000, image), ("image_digest", image, end), ("signed_digest", image, min(end, image + BLOCK))):
+        for at in range(first, min(last, size), PIECE):
+            yield {"region": name, "offset": at, "data": read(at, min(PIECE, last - at))}
+
+
 def image_header(read: Read, size: int) -> dict:
     data = exact(read, 0, 0x400, "image header")
     version, magic, number = struct.unpack_from("<3q", data, 0)
