@@ -124,6 +124,13 @@ def field_rows(table: DataFrame, key: str, fields: list[str]) -> DataFrame:
     return table.select(key, *(F.col(f).cast("string").alias(f) for f in fields)).unpivot(key, fields, "field", "value")
 
 
+def field_dump(table: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """(key, field, hex, decimal) of whole-number fields, in their order."""
+    place = F.array_position(F.array(*map(F.lit, fields)), F.col("field")).cast("int")
+    rows = table.select(key, *(F.col(f).cast("long").alias(f) for f in fields)).unpivot(key, fields, "field", "decimal")
+    return rows.select(key, place.alias("ordinal"), "field", F.format_string("0x%X", "decimal").alias("hex"), "decimal").orderBy(key, "ordinal")
+
+
 def field_diff(left: DataFrame, right: DataFrame, key: list[str], value: str = "value") -> DataFrame:
     """Rows of both sides by key with SAME or DIFF; nulls are equal to each other."""
     a, b = left.withColumnRenamed(value, "left_value"), right.withColumnRenamed(value, "right_value")

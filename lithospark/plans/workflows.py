@@ -69,6 +69,17 @@ def package_info(sfo: DataFrame, headers: DataFrame) -> DataFrame:
     return joined.withColumn("type", kind).withColumn("app_version", classify.first_version(F.col("APP_VER"), F.col("VERSION")))
 
 
+def inner_content(content: DataFrame, listing_: DataFrame) -> DataFrame:
+    """(path, ordinal, data) of the image files of a listing, block by block."""
+    return listing_.where(~F.col("is_directory")).select("file", "inode", "path").join(content, ["file", "inode"]).select("file", "path", "ordinal", "data")
+
+
+def image_diff(left: DataFrame, right: DataFrame) -> dict[str, DataFrame]:
+    """Where two images of one name differ: header fields, raw inode words, use of blocks. Frames of (file, ...) by relation."""
+    fields = [c for c in ("version", "mode", "block_size", "nblock", "dinode_count", "ndblock", "dinode_block_count") if c in left.columns]
+    return {"fields": classify.field_diff(classify.field_rows(left, "file", fields), classify.field_rows(right, "file", fields), ["file", "field"])}
+
+
 # Profile.
 
 

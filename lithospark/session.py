@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: dict[str, str] = {}
+
 LOCAL_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -25,6 +29,23 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the Python workers, unless they find it where they start.
+
+    A cluster that got it by --py-files, and a run from the repository's folder
+    or with it on PYTHONPATH, need nothing.
+    """
+    root = Path(__file__).resolve().parent.parent
+    places = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if any(p and Path(p).resolve() == root for p in places) or root.suffix == ".zip":
+        return
+    context = spark.sparkContext
+    if _shipped.get(context.applicationId) is None:
+        archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "lithospark"), "zip", root, "lithospark")
+        context.addPyFile(archive)
+        _shipped[context.applicationId] = archive
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the folder that spark.checkpoint.dir names and drop its lineage.
 

@@ -36,6 +36,7 @@ RELATIONS: dict[str, tuple[str, object]] = {
     ),
     "names": ("ordinal long, offset long, name string", layouts.package_names),
     "payloads": ("ordinal long, id long, is_encrypted boolean, in_bounds boolean, data binary", layouts.entry_payloads),
+    "payload_pieces": ("ordinal long, id long, offset long, data binary", layouts.payload_pieces),
     "regions": ("region string, offset long, data binary", layouts.package_regions),
     "image_header": (
         "version long, magic long, id long, fmode short, clean short, read_only short, rsv short, mode int, unk1 int, block_size long, nbackup long, nblock long, dinode_count long, ndblock long, "
@@ -44,6 +45,7 @@ RELATIONS: dict[str, tuple[str, object]] = {
     ),
     "inodes": ("inode long, mode int, nlink int, flags long, size long, size_uncompressed long, blocks long, direct array<long>, indirect array<long>", layouts.image_inodes),
     "dirents": ("parent long, ordinal long, inode long, type int, name_length int, entry_size int, name string", layouts.image_dirents),
+    "image_content": ("inode long, ordinal long, data binary", layouts.image_content),
     "image_blocks": ("inode long, ordinal long, block long", layouts.image_blocks),
     "container_header": (
         "magic string, unk1 long, unk2 long, block_size long, alignment long, unk3 long, table_offset long, data_offset long, rounded_size long, file_size long",
@@ -62,6 +64,10 @@ RELATIONS: dict[str, tuple[str, object]] = {
 }
 
 
+#: Relations of an image; a compressed container that holds one is opened on the way.
+IMAGES = {"image_header", "inodes", "dirents", "image_content", "image_blocks"}
+
+
 def swept(read, size: int) -> dict:
     """What a package says of itself, or why it can't be read. Nothing is kept from before an error."""
     row = dict.fromkeys(("content_id", "content_type", "category", "title", "title_id", "version", "error"))
@@ -122,18 +128,19 @@ class StrataReader(DataSourceReader):
         schema, scan = RELATIONS[self.relation]
         names = [f.split()[0] for f in schema.split(", ")]
         with _open(part.path) as read:
-            if scan is None:
-                rows = [swept(read, part.size)]
-            elif part.first is None:
-                rows = scan(read, part.size)
-            elif self.relation == "container_table":
-                # The offset that ends a part begins the next one; only the last part gives it.
-                rows = (r for r in scan(read, part.size, part.first, part.last) if r["block_no"] < part.last or part.is_last)
-            else:
-                rows = scan(read, part.size, part.first, part.last)
             try:
+                if scan is None:
+                    rows = [swept(read, part.size)]
+                elif self.relation in IMAGES:
+                    rows = scan(*layouts.unwrapped(read, part.size))
+                elif part.first is None:
+                    rows = scan(read, part.size)
+                else:
+                    rows = scan(read, part.size, part.first, part.last)
                 for row in rows:
-                    yield (part.path, *(row[n] for n in names))
+                    # The offset that ends a part begins the next one; only the last part gives it.
+                    if self.relation != "container_table" or row["block_no"] < part.last or part.is_last:
+                        yield (part.path, *(row[n] for n in names))
             except ValueError:
                 if not self.lenient:
                     raise

@@ -125,6 +125,14 @@ def entry_payloads(read: Read, size: int) -> Iterator[dict]:
 PIECE = 1 << 20
 
 
+def payload_pieces(read: Read, size: int) -> Iterator[dict]:
+    """Stored bytes of entries in bounds, PIECE by PIECE, so that no row holds a whole large entry."""
+    for e in package_entries(read, size):
+        if not e["is_encrypted"] and e["data_offset"] + e["data_size"] <= size:
+            for at in range(0, e["data_size"], PIECE):
+                yield {"ordinal": e["ordinal"], "id": e["id"], "offset": at, "data": read(e["data_offset"] + at, min(PIECE, e["data_size"] - at))}
+
+
 def package_regions(read: Read, size: int) -> Iterator[dict]:
     """What the header's digests cover, in pieces: the header itself, the body before the image, the image, and its first block."""
     head = package_header(read, size)
@@ -232,6 +240,15 @@ def image_dirents(read: Read, size: int) -> Iterator[dict]:
             at, k = at + entry, k + 1
 
 
+def image_content(read: Read, size: int) -> Iterator[dict]:
+    """The bytes of every file inode, block by block."""
+    signed = bool(image_header(read, size)["mode"] & 1)
+    for inode in image_inodes(read, size):
+        if inode["mode"] and not inode["mode"] & 0x4000:
+            for k, data in enumerate(read_inode(read, inode, signed)):
+                yield {"inode": inode["inode"], "ordinal": k, "data": data}
+
+
 def container_header(read: Read, size: int) -> dict:
     data = exact(read, 0, 0x30, "container header")
     unk1, unk2, block, alignment, unk3 = struct.unpack_from("<5I", data, 4)
@@ -270,6 +287,37 @@ def container_blocks(read: Read, size: int, first: int = 0, last: int | None = N
         before = row
 
 
+def unwrapped(read: Read, size: int) -> tuple[Read, int]:
+    """A reader of what a compressed container holds, by its magic; of the file itself where there is none.
+
+    The last block read stays, as reads mostly follow each other.
+    """
+    if read(0, 4) != PFSC_MAGIC:
+        return read, size
+    head = container_header(read, size)
+    block, held = head["block_size"], {}
+
+    def content(k: int) -> bytes:
+        if k not in held:
+            row = next(container_blocks(read, size, k, k + 1), None)
+            if row is None or row["content"] is None:
+                raise ValueError(f"block {k} does not inflate")
+            held.clear()
+            held[k] = row["content"]
+        return held[k]
+
+    def inner(offset: int, length: int) -> bytes:
+        out, end = [], min(offset + length, head["rounded_size"])
+        while offset < end:
+            k, at = divmod(offset, block)
+            part = content(k)[at : at + end - offset]
+            out.append(part)
+            offset += len(part)
+        return b"".join(out)
+
+    return inner, head["rounded_size"]
+
+
 def sfo_values(read: Read, size: int) -> Iterator[dict]:
     """Keys and values; nothing for other content. A value out of bounds is null."""
     data = read(0, size)

@@ -213,3 +213,30 @@ def test_hash_golden(spark):
     df = spark.createDataFrame([("/eboot.bin", b"PFSC1"), ("ß", bytes(4)), ("", b"")], "p string, b binary")
     got = df.select(hashes.hash31(F.col("p")), hashes.hash31_any()("p"), hashes.is_pfsc(F.col("b")), hashes.is_all_zero(F.col("b")), hashes.adler32()("b")).collect()
     assert got[0][:4] == (0x768C03E1, 0x768C03E1, True, False) and got[1][1:4] == (0xDF, False, True) and got[2] == (0, 0, False, False, 1)
+
+
+def test_inner_image_in_a_container(spark, tmp_path):
+    inner = fx.image({3: b"hello", 4: b"z" * 150_000}, {0: [(3, 2, "f.txt"), (4, 2, "big")]})
+    (tmp_path / "image.pfsc").write_bytes(fx.container(inner, raw={0}))
+    load = lambda r: w.load(spark, r, str(tmp_path / "image.pfsc"))
+    listing = w.image_listing(load("dirents"), load("inodes"), 0)
+    content = w.inner_content(load("image_content"), listing).orderBy("path", "ordinal").collect()
+    assert b"".join(bytes(r.data) for r in content if r.path.endswith("f.txt")) == b"hello"
+    assert b"".join(bytes(r.data) for r in content if r.path.endswith("big")) == b"z" * 150_000
+
+
+def test_commands(spark, folder, tmp_path, capsys):
+    from lithospark import cli
+    from lithospark.plans.options import entry_argument
+
+    assert entry_argument("C:\\x.pkg") == ("C:\\x.pkg", None) and entry_argument("a.pkg:Sc0/x") == ("a.pkg", "Sc0/x")
+    one = folder + "/a.pkg"
+    for command in ("list", "info", "entries", "fields", "verify", "validate"):
+        cli.main([command, one], spark)
+    assert cli.main(["validate", one], spark).count() == 0
+    assert {r.status for r in cli.main(["verify", one], spark).collect()} <= {"SKIPPED", "FAIL"}
+    assert cli.main(["extract", one + ":sc0/icon0.png", "--output", str(tmp_path / "x")], spark).count() == 0
+    assert (tmp_path / "x/Sc0/icon0.png").read_bytes() == b"png"
+    cli.main(["sweep", folder, "--output", str(tmp_path / "report")], spark)
+    assert spark.read.option("sep", "\t").option("header", "true").csv(str(tmp_path / "report")).count() == 4
+    assert cli.main(["relation", one, "--relation", "payload_pieces"], spark).count() == 9
