@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lithospark.llm.columns import Passing
 from lithospark.llm.textkernel import U64, alnum_words, lower_ascii, mix64, slices, stream, text_buffer
 
 LANE = 64
@@ -185,18 +186,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     named; items without words match nothing; repeated items count once.
     Benchmark text goes to the tasks in blocks of PASS_BYTES, each in a pass of
     its own over the documents, so a large benchmark costs passes, not memory.
-    An empty benchmark or an empty table give zeros or no rows. docs must not
-    have the added columns already.
+    An empty benchmark or an empty table give zeros or no rows. Columns of docs
+    that are named like the added ones are replaced.
     """
-    if clash := {"n_words", "n_hit", "hit_spans", "items"} & {c.lower() for c in docs.columns}:
-        raise ValueError(f"columns {sorted(clash)} would clash with the added ones")
     spark = docs.sparkSession
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    out, ids, texts, size, passes = docs, [], [], 0, 0
+    passing = Passing(docs, ["n_words", "n_hit", "hit_spans", "items"])
+    body = passing[text]
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in passing.df.schema.fields) + ADDED
+    out, ids, texts, size, passes = passing.df, [], [], 0, 0
 
     def add(out: DataFrame) -> DataFrame:
         shared = spark.sparkContext.broadcast(Patterns(ids, texts, window))
-        return out.mapInArrow(_pass(shared, text, passes > 0), f"{kept}, {ADDED}")
+        return out.mapInArrow(_pass(shared, body, passes > 0), schema)
 
     rows = benchmark.selectExpr(f"cast(`{item}` as string) as id", f"coalesce(`{item_text}`, '') as body")
     for row in rows.toLocalIterator():
@@ -206,4 +207,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
         ids.append(row.id)
         texts.append(row.body)
         size += len(row.body)
-    return add(out) if ids or not passes else out
+    return passing.restored(add(out) if ids or not passes else out)

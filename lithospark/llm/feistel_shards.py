@@ -15,6 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lithospark.llm.columns import Passing
 from lithospark.llm.rownumbers import RUN, numbered, quotient
 
 ROUNDS = 6
@@ -62,22 +63,13 @@ def feistel_shards(df: DataFrame, shards: int, seed: int = 2024, run: int = RUN)
     from 0. Rows are told apart by all their columns, so these must be of types
     that can be grouped and hashed (no maps). Nulls are values like others;
     equal rows get different numbers, which of them gets which makes no
-    difference. An empty table stays empty. Columns of df named like the added
-    ones, or with an underscore and number in front, are refused.
+    difference. An empty table stays empty. Columns of df that are named like
+    the added ones are replaced; they still tell rows apart.
     """
-    added = {"row_no", "position", "shard", "slot"}
-    if clash := added & {c.lower() for c in df.columns}:
-        raise ValueError(f"columns {sorted(clash)} would clash with the added ones")
-    columns = [f"c{i}" for i in range(len(df.columns))]
-    rows, sizes = numbered(df.toDF(*columns), run=run)
+    passing = Passing(df, ["row_no", "position", "shard", "slot"])
+    rows, sizes = numbered(passing.df, run=run)
     n = sum(sizes.values())
     if not n:
-        return df.select("*", *(F.lit(0).cast(t).alias(c) for c, t in (("row_no", "long"), ("position", "long"), ("shard", "int"), ("slot", "long")))).limit(0)
+        return passing.restored(passing.df.select("*", *(F.lit(0).cast(t).alias(c) for c, t in (("row_no", "long"), ("position", "long"), ("shard", "int"), ("slot", "long"))))).limit(0)
     dealt = rows.withColumn("position", permuted(F.col("row_no"), n, seed))
-    return dealt.select(
-        *(F.col(c).alias(name) for c, name in zip(columns, df.columns, strict=True)),
-        "row_no",
-        "position",
-        (F.col("position") % F.lit(shards)).cast("int").alias("shard"),
-        quotient(F.col("position"), shards).alias("slot"),
-    )
+    return passing.restored(dealt.withColumn("shard", (F.col("position") % F.lit(shards)).cast("int")).withColumn("slot", quotient(F.col("position"), shards)))

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lithospark.llm.columns import Passing
 from lithospark.llm.textkernel import slices
 
 LONG = 80
@@ -50,7 +51,12 @@ NAMES = re.compile(
     re.I,
 )
 ROLES = frozenset("banner complementary contentinfo dialog form navigation search alert".split())
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Quoted values may hold angle brackets, within bounds; nothing here looks back, so damaged markup costs no more than whole.
+TAG = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"|<(/?)([A-Za-z][^\s/><]*+)((?:[^<>\"']|\"[^\"]{0,2000}+\"|'[^']{0,2000}+')*+|[^<>]*+)>",
+    re.S,
+)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=\s|/|$)", re.I)
 
 
@@ -170,6 +176,9 @@ def main_text(page: str) -> str:
     labels = [label(*b) for b in blocks]
     inside = any(b[3] and not b[2] for b in blocks)
     good = any(labels)
+    if not good and not inside:
+        # Nothing stands out as text: all that is no menu or the like may be.
+        labels = [False if bad or links > LINKS * len(text) else None for text, links, bad, _ in blocks]
     decided = list(labels)
     n = len(blocks)
 
@@ -216,10 +225,8 @@ def extract_main_text(pages: DataFrame, page: str = "html") -> DataFrame:
 
     A null or empty page, and one without an article's text, give an empty
     string and 0. Every block's whole text is kept. Other columns pass through;
-    they must not be named like the added ones.
+    those that are named like the added ones are replaced.
     """
-    others = [f for f in pages.schema.fields if f.name != page]
-    if clash := {"main_text", "n_chars"} & {f.name.lower() for f in others}:
-        raise ValueError(f"columns {sorted(clash)} would clash with the added ones")
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in others)
-    return pages.mapInArrow(_extract(page), f"{kept}main_text string, n_chars long")
+    passing = Passing(pages, ["main_text", "n_chars"], page)
+    rows = passing.df.select(*passing.inner, passing[page])
+    return passing.restored(rows.mapInArrow(_extract(passing[page]), f"{passing.schema()}main_text string, n_chars long"))

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lithospark.llm.columns import Passing
 from lithospark.llm.rownumbers import numbered, quotient
 from lithospark.llm.textkernel import slices, space_words, text_buffer
 
@@ -66,9 +67,10 @@ def _lengths(text: str):
 
 
 def word_lengths(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with n_tokens, the number of words, in place of the text; 0 for null."""
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields if f.name != text)
-    return docs.mapInArrow(_lengths(text), f"{kept}n_tokens long")
+    """docs with n_tokens, the number of words, in place of the text; 0 for null. A column of docs named n_tokens is replaced."""
+    passing = Passing(docs, ["n_tokens"], text)
+    rows = passing.df.select(*passing.inner, passing[text])
+    return passing.restored(rows.mapInArrow(_lengths(passing[text]), f"{passing.schema()}n_tokens long"))
 
 
 def pack(rows: DataFrame, length: str = "n_tokens", buckets: int = 8, budget: int = 16_384) -> DataFrame:
@@ -78,11 +80,11 @@ def pack(rows: DataFrame, length: str = "n_tokens", buckets: int = 8, budget: in
     as 0. A batch holds budget div bucket_length rows, at least one: a row
     longer than the budget is a batch of its own. Every batch of a bucket but
     its last is full. Equal rows get places of their own. An empty table stays
-    empty. rows must not have the added columns already.
+    empty. Columns of rows that are named like the added ones are replaced.
     """
-    if clash := {"bucket", "bucket_length", "batch", "slot", "row_no"} & {c.lower() for c in rows.columns}:
-        raise ValueError(f"columns {sorted(clash)} would clash with the added ones")
-    tokens = F.greatest(F.coalesce(F.col(length).cast("long"), F.lit(0)), F.lit(0))
+    passing = Passing(rows, ["bucket", "bucket_length", "batch", "slot"])
+    rows = passing.df
+    tokens = F.greatest(F.coalesce(F.col(passing[length]).cast("long"), F.lit(0)), F.lit(0))
     bars = rows.groupBy(edge(tokens).alias("edge")).agg(F.count(F.lit(1)).alias("n"), F.sum(tokens).alias("total")).orderBy("edge").collect()
     bounds = boundaries(np.array([b.edge for b in bars]), np.array([b.n for b in bars]), np.array([b.total for b in bars]), buckets) if bars else [0]
     of = F.lit(len(bounds) - 1)
@@ -92,4 +94,4 @@ def pack(rows: DataFrame, length: str = "n_tokens", buckets: int = 8, budget: in
         size = F.when(tokens <= bounds[k], F.lit(bounds[k])).otherwise(size)
     placed, _ = numbered(rows.withColumn("bucket", of.cast("int")).withColumn("bucket_length", size.cast("long")), within=["bucket"])
     room = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.col("bucket_length"), F.lit(1)))).cast("long")
-    return placed.withColumn("batch", quotient(F.col("row_no"), room)).withColumn("slot", F.col("row_no") % room).drop("row_no")
+    return passing.restored(placed.withColumn("batch", quotient(F.col("row_no"), room)).withColumn("slot", F.col("row_no") % room))

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lithospark.llm.columns import Passing
 from lithospark.llm.textkernel import U64, slices, space_words, text_buffer
 
 #: Labelled rows that are fitted, at most: those with the least hash of their id.
@@ -199,9 +200,8 @@ def score_quality(docs: DataFrame, model: Trees, text: str = "text") -> DataFram
     """docs with score, the probability of label 1.
 
     Null and empty texts have zero statistics and get a score like others. All
-    rows and columns stay; docs must not have a column named score.
+    rows and columns stay; a column of docs named score is replaced.
     """
-    if "score" in {c.lower() for c in docs.columns}:
-        raise ValueError("docs has a column named score already")
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model), text), f"{kept}, score double")
+    passing = Passing(docs, ["score"])
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in passing.df.schema.fields)
+    return passing.restored(passing.df.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model), passing[text]), f"{schema}score double"))

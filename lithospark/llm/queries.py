@@ -11,6 +11,7 @@ from lithospark.llm.decontaminate import decontaminate
 from lithospark.llm.feistel_shards import feistel_shards
 from lithospark.llm.html_extract import extract_main_text
 from lithospark.llm.jaccard_join import jaccard_components
+from lithospark.llm.oracle import SQL
 from lithospark.llm.packing import pack, word_lengths
 from lithospark.llm.quality import fit_quality, score_quality
 from lithospark.llm.quotes import link_quotes
@@ -110,4 +111,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

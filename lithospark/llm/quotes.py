@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lithospark.llm.columns import Passing
 from lithospark.session import cut
 
 MARKS = re.compile(r"\s{0,3}((?:>\s?)+)")
@@ -94,16 +95,16 @@ def link_quotes(messages: DataFrame, conversation: str = "conv_id", turn: str =
     Null and empty texts have no words and no quotes. Rows with a null
     conversation or turn link with nothing and are placed first. Rows that
     share conversation and turn count as one message when linking and have
-    places of their own. Other columns pass through; they must not be named
-    like the added ones.
+    places of their own. Other columns pass through; those that are named like
+    the added ones are replaced.
     """
-    added = {"own_text", "parent_turn", "root_turn", "depth", "n_passages", "n_linked", "position", "passages"}
-    if clash := added & {c.lower() for c in messages.columns}:
-        raise ValueError(f"columns {sorted(clash)} would clash with the added ones")
-    others = [c for c in messages.columns if c != text]
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in messages.schema.fields if f.name != text)
-    parsed = cut(messages.mapInArrow(_parse(text), f"{kept}own_text string, passages array<struct<level: int, hash: long, words: int>>"))
-    c, t = F.col(conversation), F.col(turn)
+    passing = Passing(messages, ["own_text", "parent_turn", "root_turn", "depth", "n_passages", "n_linked", "position"], text)
+    keys = [passing[conversation], passing[turn]]
+    others = list(dict.fromkeys([*passing.inner, *keys]))
+    rows = passing.df.select(*others, passing[text])
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
+    parsed = cut(rows.mapInArrow(_parse(passing[text]), f"{kept}own_text string, passages array<struct<level: int, hash: long, words: int>>"))
+    c, t = map(F.col, keys)
     units = parsed.where(c.isNotNull() & t.isNotNull()).select(c.alias("c"), t.alias("t"), F.explode("passages").alias("p")).select("c", "t", "p.*")
     # Only passages that some message quotes are looked for; copies within a message count once.
     quoted = units.where("level > 0").groupBy("c", "t", "level", "hash").agg(F.max("words").alias("words"))
@@ -136,6 +137,4 @@ def link_quotes(messages: DataFrame, conversation: str = "conv_id", turn: str =
     parts = ranged.groupBy(c.alias("_c"), F.col("_part").alias("_p")).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("_c").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = parts.withColumn("_before", before)
-    return ranged.join(parts, c.eqNullSafe(F.col("_c")) & (F.col("_part") == F.col("_p"))).withColumn("position", F.col("_at") - F.col("_first") + F.col("_before")).drop(
-        "_part", "_at", "_c", "_p", "_first", "_n", "_before"
-    )
+    return passing.restored(ranged.join(parts, c.eqNullSafe(F.col("_c")) & (F.col("_part") == F.col("_p"))).withColumn("position", F.col("_at") - F.col("_first") + F.col("_before")))
