@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import shutil
 import tempfile
+import time
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,5 +65,16 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let the cleaner drop shuffle files of frames that are out of scope."""
-    spark.sparkContext._jvm.System.gc()
+    """Let the cleaner drop shuffle files of frames that are out of scope, before more are written.
+
+    The cleaner works when the driver's JVM collects garbage, which it may not
+    do for long; callers delete their own references first. Idle
+    threads of the scheduler and the listeners hold on to what they did last,
+    hence the small jobs.
+    """
+    gc.collect()
+    for _ in range(2):
+        spark.range(0, 64, 1, 16).count()
+        time.sleep(1.0)
+        spark.sparkContext._jvm.System.gc()
+    time.sleep(0.5)
