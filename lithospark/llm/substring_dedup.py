@@ -22,15 +22,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lithospark.llm.columns import Passing
 from lithospark.llm.parts import cut_parts, joined, low, owned_rows, part_count, part_of
 from lithospark.llm.textkernel import U64, Words, grams, slices, space_words, text_buffer
 from lithospark.session import cut, release
 
 WORD_BYTES = 6
+#: Text that a task takes at once in the last two steps.
+BUCKET_BYTES = 4 << 20
 LAST = 2**63 - 1
 
 
@@ -97,123 +101,184 @@ def _offer(window: int, parts: int):
     return run
 
 
-def _runs(owner: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, list[list[bytes]]]:
-    """Owners, each once, and what they have of each array, as bytes."""
-    if not len(owner):
-        return owner.astype(np.int64), [[] for _ in values]
-    order = np.argsort(owner, kind="stable")
-    o = owner[order]
-    begin = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
-    ends = np.append(begin[1:], len(o)).tolist()
-    return o[begin], [[v[a:b].tobytes() for a, b in zip(begin.tolist(), ends, strict=True)] for v in (x[order] for x in values)]
-
-
-def _hits(rows: pd.DataFrame) -> pd.DataFrame:
-    """For each document, the keys of its blocks that are anchors somewhere and occur more than once."""
-    part = int(rows.part.iloc[0])
-    told = rows[(rows.tokens.str.len() == 0) & (rows.runs.str.len() > 0)]
-    rows = rows.drop(told.index)
-    owner = np.repeat(joined(rows.owners, np.int64), joined(rows.runs, np.uint32))
-    token, multi = joined(rows.tokens, np.uint32), joined(rows.more, np.uint32)
-    every = np.concatenate([token, multi])
-    _, inverse = np.unique(every & np.uint32(0xFFFFFFFE), return_inverse=True)
-    times = np.bincount(inverse, np.concatenate([np.ones(len(token)), np.full(len(multi), 2)]))
-    anchors = np.bincount(inverse, every & np.uint32(1))
-    live = ((times > 1) & (anchors > 0))[inverse[: len(token)]]
-    ids, (keys,) = _runs(owner[live], [(part << 32) | (token[live] & np.uint32(0xFFFFFFFE)).astype(np.int64)])
-    here, (local,) = _runs(np.repeat(joined(told.owners, np.int64), joined(told.runs, np.uint32)), [joined(told.more, np.int64)])
-    return pd.DataFrame({"id": np.concatenate([ids, here]), "keys": keys + local})
+def bucket_of(ids: np.ndarray, buckets: int) -> np.ndarray:
+    return (ids ^ (ids >> 17) ^ (ids >> 31)) % buckets
+
+
+def bucket_column(order: Column, buckets: int) -> Column:
+    """The same for a column of longs."""
+    return F.pmod(order.bitwiseXOR(F.shiftright(order, 17)).bitwiseXOR(F.shiftright(order, 31)), F.lit(buckets)).cast("int")
+
+
+def _packed(owner: np.ndarray, values: list[np.ndarray], buckets: int) -> tuple[list[int], list[list[bytes]]]:
+    """Buckets, and for each the owners of runs, the lengths of runs and what belongs to them of each array."""
+    bucket = bucket_of(owner, buckets)
+    order = np.lexsort((owner, bucket))
+    o, b = owner[order], bucket[order]
+    values = [v[order] for v in values]
+    edge = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else np.zeros(0, np.int64)
+    out: list[list[bytes]] = [[] for _ in range(2 + len(values))]
+    for x, y in zip(edge.tolist(), [*edge[1:].tolist(), len(b)], strict=False):
+        change = np.flatnonzero(np.concatenate([[True], o[x + 1 : y] != o[x : y - 1]]))
+        parts = (o[x:y][change], np.diff(np.append(change, y - x)).astype(np.uint32), *(v[x:y] for v in values))
+        for column, part in zip(out, parts, strict=True):
+            column.append(part.tobytes())
+    return b[edge].tolist(), out
+
+
+def _hits(buckets: int):
+    """For the documents of each bucket, their blocks that are anchors somewhere and occur more than once.
+
+    Of this part the lower bits (part >= 0), of repeats within a batch the keys.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        part = int(rows.part.iloc[0])
+        told = rows[(rows.tokens.str.len() == 0) & (rows.runs.str.len() > 0)]
+        rows = rows.drop(told.index)
+        owner = np.repeat(joined(rows.owners, np.int64), joined(rows.runs, np.uint32))
+        token, multi = joined(rows.tokens, np.uint32), joined(rows.more, np.uint32)
+        every = np.concatenate([token, multi])
+        _, inverse = np.unique(every & np.uint32(0xFFFFFFFE), return_inverse=True)
+        times = np.bincount(inverse, np.concatenate([np.ones(len(token)), np.full(len(multi), 2)]))
+        anchors = np.bincount(inverse, every & np.uint32(1))
+        live = ((times > 1) & (anchors > 0))[inverse[: len(token)]]
+        out = []
+        for kind, who, found in (
+            (part, owner[live], token[live] & np.uint32(0xFFFFFFFE)),
+            (-1, np.repeat(joined(told.owners, np.int64), joined(told.runs, np.uint32)), joined(told.more, np.int64)),
+        ):
+            bucket, (owners, runs, keys) = _packed(who, [found], buckets)
+            out.append(pd.DataFrame({"bucket": bucket, "part": kind, "owners": owners, "runs": runs, "keys": keys}))
+        return pd.concat(out)
+
+    return run
+
+
+HITS = "bucket int, part int, owners binary, runs binary, keys binary"
+
+
+def _gathered(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(document, key) of all hits in the rows, by document."""
+    who, keys = [], []
+    for part, owners, runs, found in zip(*(rows.column(c).to_pylist() for c in ("part", "owners", "runs", "keys")), strict=True):
+        who.append(np.repeat(np.frombuffer(owners, np.int64), np.frombuffer(runs, np.uint32)))
+        keys.append(np.frombuffer(found, np.int64) if part < 0 else (part << 32) | np.frombuffer(found, np.uint32).astype(np.int64))
+    who, keys = np.concatenate(who), np.concatenate(keys)
+    order = np.argsort(who, kind="stable")
+    return who[order], keys[order]
+
+
+WINDOWS = pa.schema([("part", pa.int32()), *((c, pa.binary()) for c in ("owners", "runs", "hashes", "positions", "checks"))])
 
 
 def _windows(window: int, parts: int, window_parts: int):
-    """Hashes and positions of the windows near hits: of each the first in the batch; later ones are repeats at once."""
+    """Hashes and positions of the windows near hits: of each the first in the bucket; later ones are repeats at once."""
     size = window // 2
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, spread = space_words(fold=False), TaskContext.get().partitionId() * 7919
-        for whole in batches:
+    def run(key, texts: pa.Table, hits: pa.Table) -> pa.Table:
+        if not texts.num_rows or not hits.num_rows:
+            return WINDOWS.empty_table()
+        words, rows = space_words(fold=False), []
+        who, keys = _gathered(hits)
+        texts = texts.filter(pa.compute.is_in(texts.column("id"), pa.array(np.unique(who)))).sort_by("id").combine_chunks()
+        # One text after another in order, so that the first start in the bucket is the least.
+        seen: dict[str, list] = {"told": [], "where": [], "id": [], "position": []}
+        for whole in texts.to_batches():
             for batch in slices(whole, "body"):
-                batch = batch.take(pa.compute.sort_indices(batch.column("id")))
                 ids = batch.column("id").to_numpy()
                 _, _, first, hashes, blocks = _blocks(words, batch.column("body"), size)
                 near = np.zeros(len(hashes) + 1, np.int64)
-                for t, keys in enumerate(batch.column("keys").to_pylist()):
+                for t, (low_, high) in enumerate(zip(np.searchsorted(who, ids, "left").tolist(), np.searchsorted(who, ids, "right").tolist(), strict=True)):
                     a, b = int(first[t]), int(first[t + 1]) - size + 1
                     if b - a > size:
-                        near[a + 1 : b + 1] = np.isin(_key(blocks[a:b], parts), np.frombuffer(b"".join(keys), np.int64))
+                        near[a + 1 : b + 1] = np.isin(_key(blocks[a:b], parts), keys[low_:high])
                 near = np.cumsum(near)
                 begin, text = _inside(first, window, window, len(hashes))
                 close = near[begin + size + 1] > near[begin]
                 begin, text = begin[close], text[close]
-                if not len(begin):
-                    continue
-                where, told = grams(hashes, window, 12)[begin], grams(hashes, window, 13)[begin]
-                position = (begin - first[text]).astype(np.uint32)
-                _, earliest = np.unique(told, return_index=True)
-                is_first = np.zeros(len(begin), bool)
-                is_first[earliest] = True
-                # The same start in a repeated row is no later one.
-                same = np.flatnonzero(~is_first)
-                if len(same) and len(np.unique(ids)) < len(ids):
-                    _, inverse = np.unique(told, return_inverse=True)
-                    lead = earliest[inverse[same]]
-                    same = same[(ids[text[lead]] != ids[text[same]]) | (position[lead] != position[same])]
-                rows = []
-                if len(same):
-                    spread += 1
-                    n = np.bincount(text[same], minlength=len(ids))
-                    rows.append((spread % window_parts, ids[n > 0].tobytes(), n[n > 0].astype(np.uint32).tobytes(), b"", position[same].tobytes(), low(told[same]).tobytes()))
-                at = np.sort(earliest)
-                for p, owners, runs, take in owned_rows(ids[text[at]], where[at], window_parts):
-                    rows.append((p, owners, runs, told[at][take].tobytes(), position[at][take].tobytes(), b""))
-                part, *columns = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *(pa.array(x, pa.binary()) for x in columns)], ["part", "owners", "runs", "hashes", "positions", "checks"])
+                seen["where"].append(grams(hashes, window, 12)[begin])
+                seen["told"].append(grams(hashes, window, 13)[begin])
+                seen["id"].append(ids[text])
+                seen["position"].append((begin - first[text]).astype(np.uint32))
+        told, where, ids, position = (np.concatenate(seen[c]) for c in ("told", "where", "id", "position"))
+        if not len(told):
+            return WINDOWS.empty_table()
+        _, earliest, inverse = np.unique(told, return_index=True, return_inverse=True)
+        lead = earliest[inverse]
+        # The same start in a repeated row is no later one.
+        same = np.flatnonzero((ids[lead] != ids) | (position[lead] != position))
+        if len(same):
+            order = same[np.argsort(ids[same], kind="stable")]
+            change = np.flatnonzero(np.concatenate([[True], ids[order][1:] != ids[order][:-1]]))
+            runs = np.diff(np.append(change, len(order))).astype(np.uint32)
+            rows.append((key[0].as_py() % window_parts, ids[order][change].tobytes(), runs.tobytes(), b"", position[order].tobytes(), low(told[order]).tobytes()))
+        at = np.sort(earliest)
+        for p, owners, runs, take in owned_rows(ids[at], where[at], window_parts):
+            rows.append((p, owners, runs, told[at][take].tobytes(), position[at][take].tobytes(), b""))
+        return pa.table(dict(zip(WINDOWS.names, zip(*rows, strict=True), strict=True)), schema=WINDOWS)
 
     return run
 
 
-def _later(rows: pd.DataFrame) -> pd.DataFrame:
-    """For each document, the positions of windows that start earlier elsewhere, with bits to know them by."""
-    told = rows[rows.hashes.str.len() == 0]
-    rows = rows.drop(told.index)
-    owner = np.repeat(joined(rows.owners, np.int64), joined(rows.runs, np.uint32))
-    value, position = joined(rows.hashes, U64), joined(rows.positions, np.uint32)
-    order = np.lexsort((position, owner, value))
-    o, v, p = owner[order], value[order], position[order]
-    begin = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.zeros(0, np.int64)
-    lead = np.repeat(begin, np.diff(np.append(begin, len(v))))
-    later = (o != o[lead]) | (p != p[lead])
-    ids, (positions, checks) = _runs(
-        np.concatenate([o[later], np.repeat(joined(told.owners, np.int64), joined(told.runs, np.uint32))]),
-        [np.concatenate([p[later], joined(told.positions, np.uint32)]), np.concatenate([low(v[later]), joined(told.checks, np.uint32)])],
-    )
-    return pd.DataFrame({"id": ids, "positions": positions, "checks": checks})
-
-
-def _strip(window: int, text: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _later(buckets: int):
+    """For the documents of each bucket, the positions of windows that start earlier elsewhere, with bits to know them by."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        told = rows[rows.hashes.str.len() == 0]
+        rows = rows.drop(told.index)
+        owner = np.repeat(joined(rows.owners, np.int64), joined(rows.runs, np.uint32))
+        value, position = joined(rows.hashes, U64), joined(rows.positions, np.uint32)
+        order = np.lexsort((position, owner, value))
+        o, v, p = owner[order], value[order], position[order]
+        begin = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.zeros(0, np.int64)
+        lead = np.repeat(begin, np.diff(np.append(begin, len(v))))
+        later = (o != o[lead]) | (p != p[lead])
+        bucket, (owners, runs, positions, checks) = _packed(
+            np.concatenate([o[later], np.repeat(joined(told.owners, np.int64), joined(told.runs, np.uint32))]),
+            [np.concatenate([p[later], joined(told.positions, np.uint32)]), np.concatenate([low(v[later]), joined(told.checks, np.uint32)])],
+            buckets,
+        )
+        return pd.DataFrame({"bucket": bucket, "owners": owners, "runs": runs, "positions": positions, "checks": checks})
+
+    return run
+
+
+LATER = "bucket int, owners binary, runs binary, positions binary, checks binary"
+SPANS = pa.list_(pa.struct([("first_word", pa.int64()), ("end_word", pa.int64())]))
+
+
+def _strip(window: int, text: str, others: list[str]):
+    def run(key, docs: pa.Table, later: pa.Table) -> pa.Table:
         words = space_words(fold=False)
-        for whole in batches:
+        columns = {c: docs.column(c) for c in others}
+        if not docs.num_rows:
+            nothing = pa.array([], pa.int64())
+            return pa.table(columns | {"n_words": nothing, "n_removed": nothing, "repeats": pa.array([], SPANS), "kept_text": pa.array([], pa.string())})
+        unpack = lambda c, kind: joined(later.column(c).to_pylist(), kind)
+        who = np.repeat(unpack("owners", np.int64), unpack("runs", np.uint32))
+        order = np.argsort(who, kind="stable")
+        who, positions, checks = who[order], unpack("positions", np.uint32)[order], unpack("checks", np.uint32)[order]
+        parts: dict[str, list] = {c: [] for c in ("n_words", "n_removed", "repeats", "kept_text")}
+        for whole in docs.select(["_order", text]).to_batches():
             for batch in slices(whole, text):
                 data, offsets = text_buffer(batch.column(text))
                 starts, ends, first = words.split(data, offsets)
                 told = None
                 gone = np.zeros(len(starts) + 1, np.int32)
-                for t, removed in enumerate(batch.column("removed").to_pylist()):
-                    if removed:
+                ids = batch.column("_order").to_numpy()
+                for t, (a, b) in enumerate(zip(np.searchsorted(who, ids, "left").tolist(), np.searchsorted(who, ids, "right").tolist(), strict=True)):
+                    if b > a:
                         if told is None:
                             told = grams(words.hashes(data, starts, ends), window, 13)
-                        at = np.frombuffer(b"".join(x["positions"] for x in removed), np.uint32).astype(np.int64) + first[t]
-                        check = np.frombuffer(b"".join(x["checks"] for x in removed), np.uint32)
+                        at, check = positions[a:b].astype(np.int64) + first[t], checks[a:b]
                         fits = at + window <= first[t + 1]
                         at, check = at[fits], check[fits]
                         at = np.unique(at[low(told[at]) == check])
                         gone[at] += 1
                         gone[at + window] -= 1
                 gone = np.cumsum(gone[:-1]) > 0
-                n_words = np.diff(first)
                 count = np.concatenate([[0], np.cumsum(gone)])
-                n_removed = count[first[1:]] - count[first[:-1]]
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
                 spans: list[list[dict]] = [[] for _ in range(batch.num_rows)]
                 for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
@@ -223,12 +288,11 @@ def _strip(window: int, text: str):
                         if c > a:
                             spans[t].append({"first_word": a - int(first[t]), "end_word": c - int(first[t])})
                         a, t = c, t + 1
-                columns = {c: batch.column(c) for c in batch.schema.names if c not in (text, "removed")}
-                columns["n_words"] = pa.array(n_words, pa.int64())
-                columns["n_removed"] = pa.array(n_removed, pa.int64())
-                columns["repeats"] = pa.array(spans, pa.list_(pa.struct([("first_word", pa.int64()), ("end_word", pa.int64())])))
-                columns["kept_text"] = _kept(data, starts, ends, first, ~gone)
-                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+                parts["n_words"].append(pa.array(np.diff(first), pa.int64()))
+                parts["n_removed"].append(pa.array(count[first[1:]] - count[first[:-1]], pa.int64()))
+                parts["repeats"].append(pa.array(spans, SPANS))
+                parts["kept_text"].append(_kept(data, starts, ends, first, ~gone))
+        return pa.table(columns | {c: pa.chunked_array(v) for c, v in parts.items()})
 
     return run
 
@@ -259,28 +323,27 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     joined by one space. Null texts have no words. Rows with a null key come
     last in the order; rows that share a key count as one document: equal rows
     keep the same words, and differing ones are ordered by position alone. key
-    is taken to be nearly unique: what belongs to one key is gathered. docs
-    must not have the added columns already.
+    is taken to be nearly unique: what belongs to one key is gathered. Columns
+    of docs that are named like the added ones are replaced.
     """
-    if clash := {"n_words", "n_removed", "repeats", "kept_text", "removed"} & {c.lower() for c in docs.columns}:
-        raise ValueError(f"columns {sorted(clash)} would clash with the added ones")
     spark = docs.sparkSession
-    order = F.coalesce(F.col(key).cast("long"), F.lit(LAST))
+    passing = Passing(docs, ["n_words", "n_removed", "repeats", "kept_text"], text)
+    text, docs, order = passing[text], passing.df, F.coalesce(F.col(passing[key]).cast("long"), F.lit(LAST))
     texts = docs.select(order.alias("id"), F.col(text).alias("body"))
     size = texts.agg(F.sum(F.octet_length("body").cast("long"))).first()[0] or 0
-    parts = part_count(size // WORD_BYTES)
+    parts, buckets = part_count(size // WORD_BYTES), -(-size // BUCKET_BYTES) | 1
+    bucket = bucket_column(order, buckets)
     offered = texts.mapInArrow(_offer(window, parts), "part int, owners binary, runs binary, tokens binary, more binary")
-    hits = cut(offered.groupBy("part").applyInPandas(_hits, "id long, keys binary"))
+    hits = cut(offered.groupBy("part").applyInPandas(_hits(buckets), HITS))
+    del offered
     release(spark)
     n_hits = hits.agg(F.sum(F.octet_length("keys").cast("long"))).first()[0] or 0
-    window_parts = part_count(2 * n_hits // 8)
-    near = texts.join(hits.groupBy("id").agg(F.collect_list("keys").alias("keys")), "id")
-    windows = near.mapInArrow(_windows(window, parts, window_parts), "part int, owners binary, runs binary, hashes binary, positions binary, checks binary")
-    later = cut(windows.groupBy("part").applyInPandas(_later, "id long, positions binary, checks binary"))
+    window_parts = part_count(2 * n_hits // 4)
+    placed = docs.select(bucket.alias("bucket"), order.alias("id"), F.col(text).alias("body"))
+    near = placed.groupBy("bucket").cogroup(hits.groupBy("bucket")).applyInArrow(_windows(window, parts, window_parts), "part int, owners binary, runs binary, hashes binary, positions binary, checks binary")
+    later = cut(near.groupBy("part").applyInPandas(_later(buckets), LATER))
+    del hits, near
     release(spark)
-    removed = later.groupBy(F.col("id").alias("removed_id")).agg(F.collect_list(F.struct("positions", "checks")).alias("removed"))
-    marked = docs.join(removed, order == F.col("removed_id"), "left").drop("removed_id")
-    others = [f for f in docs.schema.fields if f.name != text]
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in others)
     added = "n_words long, n_removed long, repeats array<struct<first_word: long, end_word: long>>, kept_text string"
-    return marked.mapInArrow(_strip(window, text), kept + added)
+    marked = docs.select(*passing.inner, text, order.alias("_order"), bucket.alias("_bucket"))
+    return passing.restored(marked.groupBy("_bucket").cogroup(later.groupBy("bucket")).applyInArrow(_strip(window, text, passing.inner), passing.schema() + added))
