@@ -134,7 +134,7 @@ def verified_entries(entries: DataFrame, payloads: DataFrame, digests: DataFrame
     """
     after = F.min("data_offset").over(Window.partitionBy("file").orderBy("data_offset").rangeBetween(1, Window.unboundedFollowing))
     bounded = entries.withColumn("_room", F.coalesce(after, F.col("file_size")) - F.col("data_offset"))
-    joined = bounded.join(digests, ["file", "ordinal"], "left").join(payloads, ["file", "ordinal"], "left")
+    joined = bounded.join(digests.select("file", "ordinal", "stored"), ["file", "ordinal"], "left").join(payloads.select("file", "ordinal", "data"), ["file", "ordinal"], "left")
     size = F.least(F.col("data_size"), F.col("_room")).cast("int")
     same = F.sha2(F.substring(F.col("data"), F.lit(1), size), 256) == F.lower(F.hex("stored"))
     status = F.when((F.col("ordinal") == 0) | F.col("data").isNull() | F.col("stored").isNull() | (F.col("data_offset") + F.col("data_size") > F.col("file_size")), "SKIPPED").when(same, "OK").otherwise("FAIL")
