@@ -51,13 +51,39 @@ NAMES = re.compile(
     re.I,
 )
 ROLES = frozenset("banner complementary contentinfo dialog form navigation search alert".split())
-#: Quoted values may hold angle brackets, within bounds; nothing here looks back, so damaged markup costs no more than whole.
-TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([A-Za-z][^\s/><]*+)((?:[^<>\"']|\"[^\"]{0,2000}+\"|'[^']{0,2000}+')*+|[^<>]*+)>",
-    re.S,
-)
-ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=\s|/|$)", re.I)
+#: A tag without quotes or the beginning of one; tag_end() finds where the latter ends. Nothing here looks back.
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/><]*+)(?:([^<>\"']*+)>)?+", re.S)
+#: Blanks, an attribute's name, and the quote that opens its value or the value without quotes.
+PART = re.compile(r"[\s/]*+=?+[^\s/<>=]*+(?:\s*+=\s*+(?:([\"'])|[^\s<>]*+))?+")
+PLAIN = re.compile(r"[^<>]*+>")
+ATTRIBUTE = re.compile(r"[\s/]*+(=?+[^\s/<>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s<>]*+)))?+")
+
+
+def tag_end(page: str, at: int, dead: set[int]) -> int:
+    """Where the tag ends whose name ends at at, or -1 if no tag is there. Quoted values may hold anything but their quote.
+
+    dead: opening quotes from which no end was found. Each of the page's quotes
+    is followed once in vain at most, so damaged markup costs no more than whole.
+    """
+    tried, k = [], at
+    while True:
+        m = PART.match(page, k)
+        if m[1]:
+            quote = m.end() - 1
+            close = -1 if quote in dead else page.find(m[1], quote + 1)
+            tried.append(quote)
+            if close < 0:
+                break
+            k = close + 1
+        elif m.end() > k:
+            k = m.end()
+        elif page.startswith(">", k):
+            return k + 1
+        else:
+            break
+    dead.update(tried)
+    plain = PLAIN.match(page, at)
+    return plain.end() if plain else -1
 
 
 def unwanted(name: str, attributes: str, inside: bool) -> bool:
@@ -99,11 +125,18 @@ def blocks_of(page: str) -> list[tuple[str, int, bool, int]]:
             if anchor:
                 linked.append(text)
 
-    find = TAG.search
+    find, dead = TAG.search, set()
     while m := find(page, at):
+        name, attributes, end = m[2], m[3], m.end()
+        if name is not None and attributes is None:
+            end = tag_end(page, m.end(), dead)
+            if end < 0:
+                put(page[at : m.end()])
+                at = m.end()
+                continue
+            attributes = page[m.end() : end - 1]
         put(page[at : m.start()])
-        at = m.end()
-        name = m[2]
+        at = end
         if name is None:
             continue
         name = name.lower()
@@ -123,7 +156,7 @@ def blocks_of(page: str) -> list[tuple[str, int, bool, int]]:
             continue
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\s*>|(?=<body[\s>])" if name == "head" else rf"</{re.escape(name)}[^>]*>", re.I).search(page, at)
-            if m[3].endswith("/"):
+            if attributes.endswith("/"):
                 continue
             if name == "head":
                 close()
@@ -137,8 +170,8 @@ def blocks_of(page: str) -> list[tuple[str, int, bool, int]]:
             if name in BLOCK_TAGS:
                 anchor = 0
                 close()
-            if name in HOLDERS and not m[3].endswith("/"):
-                worse = bad or unwanted(name, m[3], article > 0)
+            if name in HOLDERS and not attributes.endswith("/"):
+                worse = bad or unwanted(name, attributes, article > 0)
                 if worse != bad:
                     close()
                 bad = worse
@@ -146,7 +179,7 @@ def blocks_of(page: str) -> list[tuple[str, int, bool, int]]:
                     articles += 1
                     article = articles
                 stack.append((name, bad, article))
-        elif name not in VOID and m[3] and unwanted(name, m[3], article > 0) and name in ("p", "b", "i", "em"):
+        elif name not in VOID and attributes and unwanted(name, attributes, article > 0) and name in ("p", "b", "i", "em"):
             close()
     put(page[at:])
     close()

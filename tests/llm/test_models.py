@@ -126,6 +126,23 @@ def test_pages_without_article_use_the_blocks():
     assert main_text(page) == f"{good} By it. {good}"
 
 
+def test_long_quoted_values_stay_in_their_tags():
+    for quote, other in (('"', "'"), ("'", '"')):
+        value = f"{'x' * 3000}<p class={other}ad{other} id=ad >inner</p> a > b{other}"
+        assert main_text(f"<div data-html={quote}{value}{quote}>after</div>") == "after"
+        assert main_text(f"<p>It stays.</p><div data-html={quote}{value}{quote} class={quote}advert{quote}>goes</div>") == "It stays."
+
+
+def test_damaged_tags_cost_no_more_than_whole():
+    import time
+
+    for part in ("<p", '<a b="<" c=', "<a \"<a '<a ", "<a x=\"<a y='<a ", "<a x=\"<b\" y='<c' <", "<a x='<a\"y=\"<b'z="):
+        began = time.perf_counter()
+        main_text(part * 60_000)
+        assert time.perf_counter() - began < 30
+    assert main_text("<p title=it's>One.</p> <p>Don't.</p>") == "One. Don't."
+
+
 MAIL = "conv_id long, turn long, role string, text string"
 
 
