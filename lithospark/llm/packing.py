@@ -1,10 +1,10 @@
 """Packing into token-budget batches inside optimal length buckets.
 
-Lengths go into a global histogram: exact up to EXACT, then rounded up to
-1/128 of their size, so it has a bounded number of edges. Dynamic programming
-over the edges finds the bucket boundaries with the least padding. Inside a
-bucket every row takes the bucket's length, a batch holds as many rows as the
-budget allows, and rows fill batches in a reproducible shuffled order.
+Lengths are counted exactly in a global histogram; n different lengths need
+about n^2 / 2 tokens, so it stays small. Dynamic programming over them finds the
+bucket boundaries with the least padding. Inside a bucket every row takes the
+bucket's length, which is that of its longest row, a batch holds as many rows as
+the budget allows, and rows fill batches in a reproducible shuffled order.
 """
 
 from __future__ import annotations
@@ -13,43 +13,48 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lithospark.llm.columns import Passing
 from lithospark.llm.rownumbers import numbered, quotient
 from lithospark.llm.textkernel import slices, space_words, text_buffer
 
-EXACT = 256
-
-
-def edge(length: Column) -> Column:
-    """The histogram's edge for a length: itself, or the next multiple of 1/128 of its power of two."""
-    step = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double"))) - 7).cast("long")
-    return F.when(length <= EXACT, length).otherwise(quotient(length + step - 1, step) * step)
-
-
 def boundaries(edges: np.ndarray, counts: np.ndarray, sums: np.ndarray, buckets: int) -> list[int]:
-    """The at most buckets edges that minimise the padding of all rows; the last one is the greatest."""
+    """The at most buckets edges that minimise the padding of all rows; the last one is the greatest.
+
+    For an edge e, a last bucket that starts after the first i edges costs
+    best[i] + sum[i] - e * count[i] and what does not depend on i: the least of
+    lines whose slopes fall with i, asked at growing e. Whole numbers of any size.
+    """
     h = len(edges)
-    count, total = np.concatenate([[0], np.cumsum(counts)]).astype(float), np.concatenate([[0], np.cumsum(sums)]).astype(float)
-    best = np.full(h + 1, np.inf)
-    best[0] = 0
-    choice = []
-    for _ in range(min(buckets, h)):
-        now, pick = np.full(h + 1, np.inf), np.zeros(h + 1, np.int64)
-        now[0] = 0
+    size = [int(e) for e in edges]
+    count, total = [0], [0]
+    for n, t in zip(counts.tolist(), sums.tolist(), strict=True):
+        count.append(count[-1] + int(n))
+        total.append(total[-1] + int(t))
+    best = [0] + [size[j - 1] * count[j] - total[j] for j in range(1, h + 1)]
+    choice = [[0] * (h + 1)]
+    for _ in range(min(buckets, h) - 1):
+        line = [best[i] + total[i] for i in range(h + 1)]
+        now, pick, hull, first = [0] * (h + 1), [0] * (h + 1), [], 0
         for j in range(1, h + 1):
-            cost = best[:j] + edges[j - 1] * (count[j] - count[:j]) - (total[j] - total[:j])
-            pick[j] = int(cost.argmin())
-            now[j] = cost[pick[j]]
+            z = j - 1
+            while len(hull) - first > 1 and (line[z] - line[hull[-2]]) * (count[hull[-1]] - count[hull[-2]]) <= (line[hull[-1]] - line[hull[-2]]) * (count[z] - count[hull[-2]]):
+                hull.pop()
+            hull.append(z)
+            e = size[z]
+            while first + 1 < len(hull) and line[hull[first + 1]] - e * count[hull[first + 1]] < line[hull[first]] - e * count[hull[first]]:
+                first += 1
+            i = pick[j] = hull[first]
+            now[j] = line[i] - e * count[i] + e * count[j] - total[j]
         choice.append(pick)
         best = now
     out, j = [], h
     for pick in reversed(choice):
         if j > 0:
-            out.append(int(edges[j - 1]))
-            j = int(pick[j])
+            out.append(size[j - 1])
+            j = pick[j]
     return sorted(out)
 
 
@@ -85,8 +90,9 @@ def pack(rows: DataFrame, length: str = "n_tokens", buckets: int = 8, budget: in
     passing = Passing(rows, ["bucket", "bucket_length", "batch", "slot"])
     rows = passing.df
     tokens = F.greatest(F.coalesce(F.col(passing[length]).cast("long"), F.lit(0)), F.lit(0))
-    bars = rows.groupBy(edge(tokens).alias("edge")).agg(F.count(F.lit(1)).alias("n"), F.sum(tokens).alias("total")).orderBy("edge").collect()
-    bounds = boundaries(np.array([b.edge for b in bars]), np.array([b.n for b in bars]), np.array([b.total for b in bars]), buckets) if bars else [0]
+    bars = rows.groupBy(tokens.alias("edge")).agg(F.count(F.lit(1)).alias("n")).toArrow().sort_by("edge")
+    edges, counts = bars["edge"].to_numpy(), bars["n"].to_numpy()
+    bounds = boundaries(edges, counts, edges * counts, buckets) if len(edges) else [0]
     of = F.lit(len(bounds) - 1)
     size = F.lit(bounds[-1])
     for k in range(len(bounds) - 2, -1, -1):

@@ -59,6 +59,34 @@ def test_boundaries_are_optimal():
     assert boundaries(np.array([5]), np.array([3]), np.array([15]), 8) == [5]
 
 
+def least_padding(lengths, buckets):
+    """By the plain programme over all exact lengths."""
+    edges, n = np.unique(lengths, return_counts=True)
+    count, total = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(edges * n)])
+    best = np.concatenate([[0.0], np.full(len(edges), np.inf)])
+    for _ in range(buckets):
+        best = np.array([0.0] + [min(best[: j + 1] + edges[j] * (count[j + 1] - count[: j + 1]) - (total[j + 1] - total[: j + 1])) for j in range(len(edges))])
+    return best[-1]
+
+
+def test_boundaries_over_many_lengths_are_optimal():
+    rng = np.random.default_rng(2)
+    for buckets, most in ((8, 20_000), (5, 300), (3, 7), (9, 4)):
+        lengths = np.concatenate([rng.integers(0, most, 1500), np.full(800, most // 3)])
+        edges, counts = np.unique(lengths, return_counts=True)
+        got = boundaries(edges, counts, edges * counts, buckets)
+        assert padding(lengths.tolist(), got) == least_padding(lengths, buckets) and len(got) <= buckets
+
+
+def test_packing_by_exact_lengths(spark):
+    rng = np.random.default_rng(7)
+    lengths = [int(x) for x in rng.lognormal(6, 1, 1000)] + [5461] * 500
+    out = pack(spark.createDataFrame(list(enumerate(lengths)), "doc_id long, n_tokens long")).toPandas()
+    assert (out.groupby("bucket").n_tokens.max() == out.groupby("bucket").bucket_length.max()).all()
+    assert (out.bucket_length - out.n_tokens).sum() == least_padding(np.array(lengths), 8)
+    assert (out[out.bucket_length == 5461].groupby("batch").size().iloc[:-1] == 3).all() and (out.bucket_length == 5461).sum() >= 500
+
+
 def test_packing(spark):
     rng = np.random.default_rng(4)
     lengths = [int(x) for x in rng.lognormal(5, 1, 2000)] + [0] * 50 + [7] * 800 + [40_000] * 3
