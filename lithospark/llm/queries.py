@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lithospark.llm.decontaminate import decontaminate
 from lithospark.llm.feistel_shards import feistel_shards
 from lithospark.llm.html_extract import extract_main_text
-from lithospark.llm.jaccard_join import jaccard_components
+from lithospark.llm.jaccard_join import jaccard_components, jaccard_links
 from lithospark.llm.oracle import SQL
 from lithospark.llm.packing import pack, word_lengths
 from lithospark.llm.quality import fit_quality, score_quality
@@ -28,6 +28,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op1_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_links(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def held_out(key: str = "doc_id") -> Column:
     """The fold that no model learns from."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0
@@ -98,6 +102,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+        "op1_ngram_jaccard_links": op1_ngram_jaccard_links,
         "op2_quality_classifier": op2_quality_classifier,
         "op3_quotation_linking": op3_quotation_linking,
         "op4_packing": op4_packing,
