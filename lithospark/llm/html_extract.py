@@ -45,9 +45,11 @@ HOLDERS = frozenset("article aside body dialog div dl fieldset figure footer for
 OUTSIDE = frozenset("aside dialog footer form header menu nav noscript select".split())
 RAW = frozenset("head iframe math object script style svg template textarea title button".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Whole class or id tokens: a part of one may tell of the page (has-sidebar), or of what an article is about (tag-europe).
 NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?\w*|advertisements?|banners?|breadcrumbs?|comments?|consent|cookies?|disqus|discussion|foot\w*|gdpr|head(?:er)?|login|menus?|modal|nav\w*|newsletter|"
-    r"notices?|paywall|popups?|promos?|promotions?|recommend\w*|related|repl(?:y|ies)|respond|search|shar(?:e|ing)|sidebars?|social|sponsor\w*|subscri\w*|tags?|toolbar|topbar|widgets?)(?:$|[\s_-])",
+    r"(?:ads?|adverts?|advertisements?|advertising|banners?|breadcrumbs?|comments?|consent|cookies?|cookie-(?:banner|consent|notice)|disqus|discussion|footers?|gdpr|head(?:er)?|login|menus?|modal|"
+    r"nav(?:s|bar|igation)?|newsletter|notices?|paywall|popups?|promos?|promotions?|recommend(?:ed|ations?)|related|repl(?:y|ies)|respond|search|shar(?:e|ing)|sidebars?|social|sponsors?|sponsored|"
+    r"subscri(?:be|ptions?)|tags?|toolbar|topbar|widgets?)",
     re.I,
 )
 ROLES = frozenset("banner complementary contentinfo dialog form navigation search alert".split())
@@ -86,36 +88,43 @@ def tag_end(page: str, at: int, dead: set[int]) -> int:
     return plain.end() if plain else -1
 
 
-def unwanted(name: str, attributes: str, inside: bool) -> bool:
-    """Whether an element holds no part of an article. inside: it lies in one."""
+def unwanted(name: str, attributes: str, inside: bool) -> tuple[bool, bool]:
+    """Whether an element holds no part of an article: by what it is, and by its names. inside: it lies in one."""
     if name in OUTSIDE and not (inside and name == "header"):
-        return True
+        return True, False
+    named = False
     if not attributes:
-        return False
+        return False, named
     for m in ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").strip()
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "role" and value.lower() in ROLES:
-            return True
-        if key in ("class", "id") and name not in ("body", "html", "main") and NAMES.search(value):
-            return True
-    return False
+            return True, False
+        if key in ("class", "id") and name not in ("article", "body", "html", "main") and any(map(NAMES.fullmatch, value.split())):
+            named = True
+    return False, named
 
 
 def blocks_of(page: str) -> list[tuple[str, int, bool, int]]:
-    """(text, characters in links, unwanted, article number or 0) of each block that has text."""
-    out: list[tuple[str, int, bool, int]] = []
-    stack: list[tuple[str, bool, int]] = []
+    """(text, characters in links, unwanted, article number or 0) of each block that has text.
+
+    Names reject no element around an outermost article or main, unless another
+    of these lies outside of all that names reject.
+    """
+    out: list[tuple[str, int, bool, int, int]] = []
+    stack: list[tuple[str, bool, int, int]] = []
+    around: list[int] = []
     parts: list[str] = []
     linked: list[str] = []
     anchor = articles = at = 0
     bad, article = False, 0
+    named, outer = 0, {}  # where the innermost element starts that is rejected by name, and for each the one around it
 
     def close() -> None:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 links = len(" ".join(html.unescape(" ".join(linked)).split())) if linked else 0
-                out.append((text, links, bad, article))
+                out.append((text, links, bad, article, named))
             parts.clear()
             linked.clear()
 
@@ -149,10 +158,10 @@ def blocks_of(page: str) -> list[tuple[str, int, bool, int]]:
                 if name in HOLDERS and any(x[0] == name for x in stack):
                     while stack.pop()[0] != name:
                         pass
-                    now = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-                    if now[0] != bad:
+                    now = stack[-1][1:] if stack else (False, 0, 0)
+                    if (now[0], now[2]) != (bad, named):
                         close()
-                    bad, article = now
+                    bad, article, named = now
             continue
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\s*>|(?=<body[\s>])" if name == "head" else rf"</{re.escape(name)}[^>]*>", re.I).search(page, at)
@@ -171,19 +180,30 @@ def blocks_of(page: str) -> list[tuple[str, int, bool, int]]:
                 anchor = 0
                 close()
             if name in HOLDERS and not attributes.endswith("/"):
-                worse = bad or unwanted(name, attributes, article > 0)
-                if worse != bad:
+                worse, by_name = unwanted(name, attributes, article > 0)
+                if worse and not bad or by_name:
                     close()
-                bad = worse
+                bad = bad or worse
+                if by_name:
+                    outer[at] = named
+                    named = at
                 if name in ("article", "main") and not article:
+                    if not bad:
+                        around.append(named)
                     articles += 1
                     article = articles
-                stack.append((name, bad, article))
-        elif name not in VOID and attributes and unwanted(name, attributes, article > 0) and name in ("p", "b", "i", "em"):
+                stack.append((name, bad, article, named))
+        elif name not in VOID and attributes and any(unwanted(name, attributes, article > 0)) and name in ("p", "b", "i", "em"):
             close()
     put(page[at:])
     close()
-    return out
+    spared = {0}
+    if all(around):
+        for x in around:
+            while x not in spared:
+                spared.add(x)
+                x = outer[x]
+    return [(text, links, bad or x not in spared, article) for text, links, bad, article, x in out]
 
 
 def label(text: str, links: int, bad: bool, article: int) -> bool | None:

@@ -126,6 +126,15 @@ def test_pages_without_article_use_the_blocks():
     assert main_text(page) == f"{good} By it. {good}"
 
 
+def test_names_reject_whole_tokens_and_never_the_article():
+    good = "This is a long block of running words, and it is about the things that are of use to the reader of the page."
+    for opening in ('article class="post type-post tag-europe hentry"', 'article class="post category-football"', 'article class="tag"', 'div class="site has-sidebar"', 'div class="content no-sidebar"', 'div class="navy"'):
+        assert main_text(f"<body><{opening}><p>{good}</p></{opening.split()[0]}></body>") == good
+    assert main_text(f'<div class="related"><main><p>{good}</p></main></div>') == good
+    assert main_text(f'<article><p>{good}</p><div class="x comments"><article>{good} No.</article></div></article><div class="related"><article>{good} No.</article></div>') == good
+    assert main_text(f'<p>{good}</p><div class="x sidebar"><p>{good} No.</p></div>') == good
+
+
 def test_long_quoted_values_stay_in_their_tags():
     for quote, other in (('"', "'"), ("'", '"')):
         value = f"{'x' * 3000}<p class={other}ad{other} id=ad >inner</p> a > b{other}"
