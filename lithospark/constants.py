@@ -71,6 +71,12 @@ THEME_PREFIXES = ["ip9100", "ip9102", "ip9104"]
 # Columns of a sweep report.
 SWEEP_COLUMNS = ["File", "Result", "Type", "Title", "TitleId", "ContentId", "Category", "Passcode", "Error"]
 
+# System files that a packager makes anew.
+REMADE_FILES = ["license.dat", "license.info", "psreserved.dat", "playgo-chunk.dat", "playgo-chunk.sha", "playgo-manifest.xml"]
+
+# Fields of an image header that a comparison shows.
+IMAGE_FIELDS = ["version", "mode", "block_size", "nblock", "dinode_count", "ndblock", "dinode_block_count"]
+
 # Files a rebuild needs.
 KEY_FILES = ["eboot.bin", "sce_sys/param.sfo", "sce_sys/keystone"]
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lithospark.constants import BLOCK, SPACE_RESERVE
-from lithospark.functions.paths import ancestors, dirname
+from lithospark.functions.paths import dirname
 from lithospark.functions.scalars import align
 
 
@@ -59,9 +59,8 @@ def collisions(paths: DataFrame, key: str, path: str) -> DataFrame:
 
 
 def directory_totals(files: DataFrame, path: str = "path") -> DataFrame:
-    """Files, and different directories that hold one directly or below."""
-    direct = files.select(F.explode(F.concat(ancestors(F.col(path)), F.array(dirname(F.col(path))))).alias("d")).where("d <> ''")
-    return files.agg(F.count(F.lit(1)).alias("files")).crossJoin(direct.agg(F.countDistinct("d").alias("directories")))
+    """Files, and the different directories that hold one directly; case counts, the top level is none."""
+    return files.agg(F.count(F.lit(1)).alias("files"), F.countDistinct(F.nullif(dirname(F.col(path)), F.lit(""))).alias("directories"))
 
 
 def listing_totals(listing: DataFrame) -> DataFrame:
@@ -81,40 +80,48 @@ def space_estimate(files: DataFrame, size: str, expected: int | None = None, blo
 def chained_digest(entries: DataFrame, group: list[str], order: str, data: str, ids: list[int] | None = None) -> DataFrame:
     """SHA-256 over the payloads of each group joined in order: (group, digest of the bytes, hex_digest of their hex text).
 
-    ids picks a few entries and gives their order, which bounds what is gathered.
+    ids picks a few entries and gives their order, which bounds what is
+    gathered; without it payloads are streamed in order.
     """
-    place = F.col(order) if ids is None else F.array_position(F.array(*(F.lit(i).cast("long") for i in ids)), F.col(order))
-    chosen = entries if ids is None else entries.where(F.col(order).isin(ids))
+    if ids is None:
+        return streamed_digest(entries, group, order, data)
+    place = F.array_position(F.array(*(F.lit(i).cast("long") for i in ids)), F.col(order))
     parts = F.sort_array(F.collect_list(F.struct(place.alias("place"), data)))
     text = F.array_join(F.transform(parts, lambda p: F.hex(p[data])), "")
-    return chosen.groupBy(*group).agg(F.sha2(F.unhex(text), 256).alias("digest"), F.sha2(text, 256).alias("hex_digest"))
+    return entries.where(F.col(order).isin(ids)).groupBy(*group).agg(F.sha2(F.unhex(text), 256).alias("digest"), F.sha2(text, 256).alias("hex_digest"))
 
 
-def region_digest(pieces: DataFrame, group: str = "key", order: str = "offset", data: str = "data") -> DataFrame:
-    """SHA-256 of a region from its pieces, in the order of their offsets.
+def streamed_digest(pieces: DataFrame, group: list[str], order: str, data: str) -> DataFrame:
+    """What chained_digest() gives, with the pieces sorted within partitions and passed through a digest one by one.
 
-    Pieces are sorted within partitions and streamed, so a region of any size
-    passes through one task without being held.
+    A group of any size passes through one task without being held.
     """
-    sorted_ = pieces.select(group, order, data).repartition(group).sortWithinPartitions(group, order)
+    rows = pieces.select(*group, order, data).repartition(*group).sortWithinPartitions(*group, order)
+    kinds = dict(pieces.dtypes)
 
     def run(batches):
-        name, digest = None, None
-        done = []
+        name, body, text = None, None, None
         for frame in batches:
-            for g, body in zip(frame[group], frame[data], strict=True):
-                if digest is None or g != name:
-                    if digest is not None:
-                        done.append((name, digest.hexdigest()))
-                    name, digest = g, hashlib.sha256()
-                digest.update(bytes(body or b""))
+            done = []
+            for g, piece in zip(frame[group].itertuples(index=False, name=None), frame[data], strict=True):
+                if body is None or g != name:
+                    if body is not None:
+                        done.append((*name, body.hexdigest(), text.hexdigest()))
+                    name, body, text = g, hashlib.sha256(), hashlib.sha256()
+                piece = bytes(piece or b"")
+                body.update(piece)
+                text.update(piece.hex().upper().encode())
             if done:
-                yield pd.DataFrame(done, columns=[group, "digest"])
-                done = []
-        if digest is not None:
-            yield pd.DataFrame([(name, digest.hexdigest())], columns=[group, "digest"])
+                yield pd.DataFrame(done, columns=[*group, "digest", "hex_digest"])
+        if body is not None:
+            yield pd.DataFrame([(*name, body.hexdigest(), text.hexdigest())], columns=[*group, "digest", "hex_digest"])
+
+    return rows.mapInPandas(run, "".join(f"`{g}` {kinds[g]}, " for g in group) + "digest string, hex_digest string")
 
-    return sorted_.mapInPandas(run, f"`{group}` {dict(pieces.dtypes)[group]}, digest string")
+
+def region_digest(pieces: DataFrame, group: str = "key", order: str = "offset", data: str = "data") -> DataFrame:
+    """SHA-256 of a region from its pieces, in the order of their offsets: (group, digest)."""
+    return streamed_digest(pieces, [group], order, data).select(group, "digest")
 
 
 def first_divergence(differences: DataFrame, group: str = "file", offset: str = "offset") -> DataFrame:

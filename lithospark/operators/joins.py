@@ -52,8 +52,9 @@ def range_policies(files: DataFrame, blocks: DataFrame, block: int, group: str =
     """files with policy, from a prefix count of compressed blocks and two look-ups.
 
     enable if any block of a file's range has another stored size than the
-    block size, disable if none has, none if the range is empty or ends beyond
-    the table. blocks: (group, block_no, stored_size).
+    block size, disable if none has, none if the range is empty, starts at
+    block 0 (which no file owns) or ends beyond the table. blocks: (group,
+    block_no, stored_size).
     """
     from lithospark.operators.windows import running_before
 
@@ -63,7 +64,7 @@ def range_policies(files: DataFrame, blocks: DataFrame, block: int, group: str =
     last = counted.select(group, F.col(order).alias("_last"), F.col("_through").alias("_high"))
     ranged = files.withColumn("_first", F.col("start_block")).withColumn("_last", F.col("start_block") + F.col("block_count") - 1)
     found = ranged.join(first, [group, "_first"], "left").join(last, [group, "_last"], "left")
-    policy = F.when((F.col("block_count") <= 0) | F.col("_low").isNull() | F.col("_high").isNull(), "none").when(F.col("_high") > F.col("_low"), "enable").otherwise("disable")
+    policy = F.when((F.col("block_count") <= 0) | (F.col("start_block") <= 0) | F.col("_low").isNull() | F.col("_high").isNull(), "none").when(F.col("_high") > F.col("_low"), "enable").otherwise("disable")
     return found.withColumn("policy", policy).select(*files.columns, "policy")
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lithospark.operators.classify import trophy_rank
+from lithospark.operators.windows import running_before
 
 
 def by_path(listing: DataFrame, path: str = "path") -> DataFrame:
@@ -47,4 +48,7 @@ def fail_fast(violations: DataFrame, group: str = "file", order: tuple[str, ...]
 
 
 def ranked(rows: DataFrame, within: list[str], *order, out: str = "rn") -> DataFrame:
-    return rows.withColumn(out, F.row_number().over(Window.partitionBy(*within).orderBy(*order)))
+    """rows with their number from 1 in each group; few groups may hold all rows, so ranges are numbered and added up."""
+    keys = [f"_k{k}" for k in range(len(order))]
+    keyed = rows.withColumns({k: F.col(o) if isinstance(o, str) else o for k, o in zip(keys, order, strict=True)}).withColumn("_one", F.lit(1))
+    return running_before(keyed, "_one", keys, out, within).withColumn(out, (F.col(out) + 1).cast("int")).select(*rows.columns, out)

@@ -64,9 +64,11 @@ def replace_placeholders(entries: DataFrame, given: DataFrame) -> DataFrame:
     return entries.join(new, "id", "full").select("id", F.when(F.col("_given"), F.col("_name")).otherwise(F.col("name")).alias("name"), F.when(F.col("_given"), F.col("_data")).otherwise(F.col("data")).alias("data"))
 
 
-def parent_closure(paths: DataFrame, path: str = "path") -> DataFrame:
-    """Every directory above any path, different ignoring case (the least spelling stands)."""
+def parent_closure(paths: DataFrame, path: str = "path", fold: bool = True) -> DataFrame:
+    """Every directory above any path, different ignoring case (the least spelling stands); without fold, case counts."""
     every = paths.select(F.explode(ancestors(F.col(path))).alias("path"))
+    if not fold:
+        return every.distinct()
     return every.groupBy(F.lower("path").alias("_key")).agg(F.min("path").alias("path")).drop("_key")
 
 

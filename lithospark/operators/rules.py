@@ -9,7 +9,7 @@ from lithospark.constants import BLOCK, ENTRY_ALIGN, IMAGE_ALIGN, KEY_FILES
 from lithospark.functions.hashes import is_all_zero
 from lithospark.functions.scalars import align
 from lithospark.operators.joins import unreferenced_inodes
-from lithospark.operators.windows import falling
+from lithospark.operators.windows import falling, stored_sizes
 
 COLUMNS = ["file", "stage", "ordinal", "structure", "offset", "reason", "severity"]
 
@@ -94,8 +94,7 @@ def table_violations(blocks: DataFrame, headers: DataFrame) -> DataFrame:
     """Offsets never fall, stored sizes fit in a block, and the last offset is the file's length."""
     down = falling(blocks, "offset", ["block_no"], ["file"])
     last = blocks.groupBy("file").agg(F.max_by("offset", "block_no").alias("last"), F.max("block_no").alias("block_no")).join(headers.select("file", "file_size"), "file")
-    after = F.lead("offset").over(Window.partitionBy("file").orderBy("block_no"))
-    sized = blocks.withColumn("stored", after - F.col("offset")).join(headers.select("file", "block_size"), "file")
+    sized = stored_sizes(blocks).withColumnRenamed("stored_size", "stored").join(headers.select("file", "block_size"), "file")
     return union([
         violation(down, F.lit(True), 3, "table", "offset falls", "offset", "block_no"),
         violation(last, F.col("last") != F.col("file_size"), 3, "table", "table does not end with the file", "last", "block_no"),

@@ -34,9 +34,31 @@ def running_before(df: DataFrame, value: str, order: list[str], out: str, within
     return joined.withColumn(out, F.col("_own") + F.col("_start")).select(*df.columns, out)
 
 
+def neighbour(df: DataFrame, value: str, order: list[str], out: str, within: list[str] | None = None, forward: bool = True) -> DataFrame:
+    """df with the value of the next row in the order (of the one before, without forward); null at the end.
+
+    Rows are range-partitioned like in running_before; where a range ends, the
+    value comes from the first (last) row of the next range that has the group,
+    of which there is one row for each range and group.
+    """
+    groups = within or []
+    ranged = cut(df.repartitionByRange(*groups, *order).sortWithinPartitions(*groups, *order)).withColumn("_p", F.spark_partition_id())
+    step = F.lead if forward else F.lag
+    own = Window.partitionBy("_p", *groups).orderBy(*order)
+    edge = (F.min_by if forward else F.max_by)(F.struct(value), F.struct(*order))
+    edges = ranged.groupBy("_p", *groups).agg(edge.alias("_edge"))
+    beyond = step(F.col(f"_edge.{value}")).over(Window.partitionBy(*groups).orderBy("_p"))
+    edges = edges.select(F.col("_p").alias("_q"), *(F.col(g).alias(f"_g{k}") for k, g in enumerate(groups)), beyond.alias("_beyond"))
+    same = F.col("_p") == F.col("_q")
+    for k, g in enumerate(groups):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{k}"))
+    near = ranged.withColumn("_near", step(F.struct(value)).over(own)).join(edges, same)
+    return near.withColumn(out, F.when(F.col("_near").isNull(), F.col("_beyond")).otherwise(F.col(f"_near.{value}"))).select(*df.columns, out)
+
+
 def stored_sizes(blocks: DataFrame, block: str = "block_no", offset: str = "offset", group: str = "file") -> DataFrame:
     """blocks with stored_size: the next offset less its own; null for the last row of a table."""
-    return blocks.withColumn("stored_size", F.lead(offset).over(Window.partitionBy(group).orderBy(block)) - F.col(offset))
+    return neighbour(blocks, offset, [block], "_next", [group]).withColumn("stored_size", F.col("_next") - F.col(offset)).drop("_next")
 
 
 def name_offsets(names: DataFrame, name: str = "name", order: str = "ordinal") -> DataFrame:
@@ -67,7 +89,7 @@ def sfo_offsets(values: DataFrame, group: str = "file") -> DataFrame:
 
 def falling(rows: DataFrame, value: str, order: list[str], within: list[str]) -> DataFrame:
     """Rows whose value is less than that of the row before, with previous."""
-    return rows.withColumn("previous", F.lag(value).over(Window.partitionBy(*within).orderBy(*order))).where(F.col(value) < F.col("previous"))
+    return neighbour(rows, value, order, "previous", within, forward=False).where(F.col(value) < F.col("previous"))
 
 
 def inode_position(ordinal: Column, size: int, block: int = BLOCK) -> Column:

@@ -11,24 +11,9 @@ from lithospark.constants import ENTRY_NAMES, MANAGED_FILES
 from lithospark.functions import blocks as blk
 from lithospark.functions import hashes, paths, scalars
 from lithospark.operators import aggregate, classify, joins, ordering, overlay, trees, windows
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(run):
-        QUERIES[run.__name__] = run
-        if sql:
-            SQL[run.__name__] = sql
-        return run
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from lithospark.plans import rule_queries, shape_queries  # noqa: F401  they register their queries
+from lithospark.plans.registry import QUERIES, SQL, query, table
+from lithospark.sources import documents
 
 STRICT_URL = r"^https?://[a-z0-9.-]+(/[^?#]*)?$"
 TLD = r"^[a-z]+://[^/?#]*\.([a-z]+)"
@@ -219,7 +204,7 @@ def stored_size(spark, sf_dir):
 @query(f"""
 WITH {BLOCKS_SQL}, f AS (SELECT c_custkey, c_custkey % 700 AS start_block, c_custkey % 5 AS block_count FROM customer),
 m AS (SELECT max(block_no) AS most FROM s WHERE stored_size IS NOT NULL)
-SELECT c_custkey, CASE WHEN block_count = 0 OR start_block + block_count - 1 > (SELECT most FROM m) + 1 THEN 'none'
+SELECT c_custkey, CASE WHEN block_count = 0 OR start_block = 0 OR start_block + block_count - 1 > (SELECT most FROM m) + 1 THEN 'none'
   WHEN EXISTS (SELECT 1 FROM s WHERE block_no >= start_block AND block_no < start_block + block_count AND stored_size <> 2048) THEN 'enable' ELSE 'disable' END AS policy FROM f
 """)
 def range_policy(spark, sf_dir):
@@ -247,15 +232,15 @@ def raw_block_members(spark, sf_dir):
 
 
 PROFILES_SQL = """
-a AS (SELECT 'doc/' || doc_id AS path, CASE lang WHEN 'en' THEN 'enable' ELSE 'disable' END AS here FROM documents WHERE doc_id % 10 <> 0),
-b AS (SELECT 'doc/' || doc_id AS path, CASE quality WHEN 1 THEN 'enable' ELSE 'disable' END AS reference FROM labels),
+a AS (SELECT 'doc/' || doc_id AS path, CASE lang WHEN 'en' THEN 'enable' ELSE 'disable' END AS here FROM documents),
+b AS (SELECT CASE WHEN doc_id % 10 = 0 THEN 'other/' ELSE 'doc/' END || doc_id AS path, CASE quality WHEN 1 THEN 'enable' ELSE 'disable' END AS reference FROM labels),
 d AS (SELECT path, here, reference, CASE WHEN here IS NULL THEN 'only-reference' WHEN reference IS NULL THEN 'only-here' WHEN here = reference THEN 'identical' ELSE 'mismatched' END AS status FROM a FULL JOIN b USING (path))
 """
 
 
 def profiles(spark, sf_dir) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("doc_id % 10 <> 0").select(F.concat(F.lit("Image0/DOC/"), "doc_id").alias("path"), F.when(F.col("lang") == "en", "enable").otherwise("disable").alias("policy"))
-    labels = table(spark, sf_dir, "labels").select(F.concat(F.lit("doc\\"), "doc_id", F.lit("/")).alias("path"), F.when(F.col("quality") == 1, "enable").otherwise("disable").alias("policy"))
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("Image0/DOC/"), "doc_id").alias("path"), F.when(F.col("lang") == "en", "enable").otherwise("disable").alias("policy"))
+    labels = table(spark, sf_dir, "labels").select(F.concat(F.when(F.col("doc_id") % 10 == 0, "other\\").otherwise("doc\\"), "doc_id", F.lit("/")).alias("path"), F.when(F.col("quality") == 1, "enable").otherwise("disable").alias("policy"))
     return joins.policy_diff(docs, labels)
 
 
@@ -455,12 +440,15 @@ def adler32_closed_form(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", hashes.adler32_text(F.col("p_name")).alias("checksum"))
 
 
-@query()
+@query("""
+SELECT doc_id, k::INT AS block_no, least(4096, octet_length(encode(text)) - 4096 * k)::BIGINT AS bytes, true AS same, true AS shorter FROM documents, unnest(range((octet_length(encode(text)) + 4095) // 4096)) AS t(k)
+""")
 def block_roundtrip(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("content"))
     stored = blk.store_blocks(blk.split_blocks(docs, "content", 4096))
     back = blk.inflate()(F.col("stored"), F.octet_length("data"))
-    return stored.select("doc_id", "block_no", "is_raw", F.octet_length("stored").cast("long").alias("stored_size"), (back == F.col("data")).alias("same"))
+    shorter = F.when(F.col("is_raw"), F.col("stored") == F.col("data")).otherwise(F.octet_length("stored") < F.octet_length("data"))
+    return stored.select("doc_id", "block_no", F.octet_length("data").cast("long").alias("bytes"), (back == F.col("data")).alias("same"), shorter.alias("shorter"))
 
 
 @query("SELECT r_regionkey, field, value FROM (UNPIVOT (SELECT r_regionkey, r_regionkey::VARCHAR AS r_key, r_name FROM region) ON r_key, r_name INTO NAME field VALUE value)")
@@ -482,26 +470,39 @@ def field_diff(spark, sf_dir):
     return classify.field_diff(left, right, ["n_nationkey", "field"])
 
 
+# A profile document for each part: keys of either case, a version that is not read on some.
 @query("""
-SELECT event_id, m.k AS path, m.v AS policy FROM (SELECT event_id, unnest(list_transform(json_keys(props), lambda k: {'k': k, 'v': json_extract_string(props, '$.' || k)})) AS m FROM events)
+SELECT p_partkey::VARCHAR AS file, unnest(['Image0/' || p_name, 'size/' || p_size]) AS path, unnest([CASE WHEN p_size % 2 = 0 THEN 'enable' ELSE 'disable' END, 'none']) AS policy FROM part WHERE p_partkey % 5 <> 0
 """)
 def json_profile(spark, sf_dir):
-    parsed = table(spark, sf_dir, "events").select("event_id", F.from_json("props", "map<string,string>").alias("files"))
-    return parsed.select("event_id", F.explode("files").alias("path", "policy"))
+    k = F.col("p_partkey")
+    policy = F.when(F.col("p_size") % 2 == 0, "Enable").otherwise("DISABLE")
+    body = F.concat(F.lit('{"Image0/'), "p_name", F.lit('": "'), policy, F.lit('", "size/'), F.col("p_size").cast("string"), F.lit('": "none"}}'))
+    head = F.concat(F.when(k % 2 == 0, F.lit('{"Version": ')).otherwise(F.lit('{"version" : ')), F.when(k % 5 == 0, "2").otherwise("1"), F.when(k % 3 == 0, F.lit(', "files": ')).otherwise(F.lit(', "Files" :')))
+    return documents.profile_policies(table(spark, sf_dir, "part").select(k.cast("string").alias("file"), F.concat(head, body).alias("json")))
 
 
-@query(r"""
-SELECT page_id, nullif(regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1), '') AS title, nullif(regexp_extract(html, '<html[^>]*\slang="([^"]*)"', 1), '') AS lang FROM pages
+# A project document for each page, with values as children or attributes, and two files.
+@query("""
+SELECT page_id::VARCHAR AS file, CASE page_id % 3 WHEN 0 THEN 'pkg_ps4_app' ELSE 'pkg_ps4_patch' END AS volume_type, 'ID' || page_id AS content_id, CASE WHEN page_id % 2 = 0 THEN url ELSE '' END AS title,
+  unnest([0, 1])::INT AS ordinal, unnest(['data/' || page_id, 'sce_sys/p.bin']) AS path, unnest([url, 'sce_sys/p.bin']) AS origin, unnest(['enable', '']) AS compression FROM pages
 """)
 def xml_pages(spark, sf_dir):
-    text = lambda pattern: F.nullif(F.regexp_extract("html", pattern, 1), F.lit(""))
-    return table(spark, sf_dir, "pages").select("page_id", text(r"(?s)<title[^>]*>(.*?)</title>").alias("title"), text(r'<html[^>]*\slang="([^"]*)"').alias("lang"))
+    number, url = F.col("page_id").cast("string"), F.col("url")
+    for raw, escaped in (("&", "&amp;"), ("<", "&lt;"), ('"', "&quot;")):
+        url = F.replace(url, F.lit(raw), F.lit(escaped))
+    kind = F.when(F.col("page_id") % 3 == 0, "pkg_ps4_app").otherwise("pkg_ps4_patch")
+    own = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("<title>"), url, F.lit("</title>"))).otherwise("")
+    xml = F.concat(
+        F.lit('<?xml version="1.0"?><psproject><volume><volume_type>'), kind, F.lit('</volume_type><package content_id="ID'), number, F.lit('">'), own, F.lit('</package></volume><files><file targ_path="data/'), number,
+        F.lit('" orig_path="'), url, F.lit('" pfs_compression="enable"/><file orig_path=""><entry path="sce_sys/p.bin"/></file></files></psproject>'),
+    )
+    parsed = documents.projects(table(spark, sf_dir, "pages").select(number.alias("file"), xml.alias("xml")))
+    return documents.project_files(parsed).join(parsed.select("file", "project.volume_type", "project.content_id", "project.title"), "file")
 
 
 @query("""
-WITH s AS (SELECT list_filter(string_split(url, '/'), lambda s: s <> '') AS parts, url FROM pages),
-a AS (SELECT array_to_string(parts[1:k], '/') AS d FROM s, unnest(range(1, len(parts))) AS t(k) UNION ALL SELECT regexp_extract(url, '^(.*)/[^/]*$', 1) FROM s)
-SELECT (SELECT count(*) FROM pages)::BIGINT AS files, (SELECT count(DISTINCT d) FROM a WHERE d <> '')::BIGINT AS directories
+SELECT count(*)::BIGINT AS files, count(DISTINCT nullif(regexp_extract(url, '^(.*)/[^/]*$', 1), ''))::BIGINT AS directories FROM pages
 """)
 def dir_rollup(spark, sf_dir):
     return aggregate.directory_totals(table(spark, sf_dir, "pages").select(F.col("url").alias("path")))

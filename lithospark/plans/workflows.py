@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithospark.constants import BLOCK
+from lithospark.constants import BLOCK, IMAGE_FIELDS, REMADE_FILES
 from lithospark.functions.paths import normalize_key
 from lithospark.operators import aggregate, classify, joins, ordering, overlay, rules, trees, windows
 from lithospark.sources import containers
@@ -74,10 +74,21 @@ def inner_content(content: DataFrame, listing_: DataFrame) -> DataFrame:
     return listing_.where(~F.col("is_directory")).select("file", "inode", "path").join(content, ["file", "inode"]).select("file", "path", "ordinal", "data")
 
 
-def image_diff(left: DataFrame, right: DataFrame) -> dict[str, DataFrame]:
-    """Where two images of one name differ: header fields, raw inode words, use of blocks. Frames of (file, ...) by relation."""
-    fields = [c for c in ("version", "mode", "block_size", "nblock", "dinode_count", "ndblock", "dinode_block_count") if c in left.columns]
-    return {"fields": classify.field_diff(classify.field_rows(left, "file", fields), classify.field_rows(right, "file", fields), ["file", "field"])}
+def image_diff(left: DataFrame, right: DataFrame, left_inodes: DataFrame | None = None, right_inodes: DataFrame | None = None, left_blocks: DataFrame | None = None, right_blocks: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Where two images of one name differ: header fields, and as far as they are given raw inode words and use of blocks.
+
+    Inodes: (file, ordinal, raw); blocks: (block_no, owner). words has the place
+    of each differing word and first the least of each file; blocks has those
+    whose owners differ.
+    """
+    fields = [c for c in IMAGE_FIELDS if c in left.columns]
+    out = {"fields": classify.field_diff(classify.field_rows(left, "file", fields), classify.field_rows(right, "file", fields), ["file", "field"])}
+    if left_inodes is not None and right_inodes is not None:
+        out["words"] = joins.differing_words(left_inodes, right_inodes)
+        out["first"] = aggregate.first_divergence(out["words"].withColumn("offset", F.col("ordinal") * F.lit(1 << 20) + F.col("offset")))
+    if left_blocks is not None and right_blocks is not None:
+        out["blocks"] = joins.block_use(left_blocks, right_blocks).where(~F.col("left_owner").eqNullSafe(F.col("right_owner")))
+    return out
 
 
 # Profile.
@@ -101,12 +112,11 @@ def restructure_plan(files: DataFrame, for_packager: bool = False) -> DataFrame:
 
     Without for_packager nothing but leftovers is deleted; app/playgo-chunk.dat always stays.
     """
-    made = ["license.dat", "license.info", "psreserved.dat", "playgo-chunk.dat", "playgo-chunk.sha", "playgo-manifest.xml"]
     target = F.when(F.col("area") == "Sc0", F.concat(F.lit("sce_sys/"), "path")).otherwise(F.col("path"))
     moved = files.withColumn("target", target).withColumn("_key", F.lower(target))
     gone = F.col("_key") == "sce_sys/param.sfo.original"
     if for_packager:
-        gone = gone | F.col("_key").isin([f"sce_sys/{n}" for n in made] + [f"sce_sys/app/{n}" for n in made if n != "playgo-chunk.dat"])
+        gone = gone | F.col("_key").isin([f"sce_sys/{n}" for n in REMADE_FILES] + [f"sce_sys/app/{n}" for n in REMADE_FILES if n != "playgo-chunk.dat"])
     action = F.when(gone, "delete").when(F.col("area") == "Sc0", "move").otherwise("keep")
     # What moves replaces what is there.
     latest = F.max(F.struct((F.col("area") == "Sc0").cast("int").alias("o"), "area", "path", "target", "action"))
@@ -139,7 +149,7 @@ def build_plan(files: DataFrame, profile: DataFrame | None = None, block: int =
     image = routed.where("layer = 'image'")
     attributes = image.select("path", F.col("compression").alias("policy"))
     policies = attributes.withColumn("path", normalize_key(F.col("path"))) if profile is None else overlay.policy_precedence(attributes, profile)
-    parents = overlay.parent_closure(image, "target").select("path", F.lit(True).alias("is_directory"))
+    parents = overlay.parent_closure(image, "target", fold=False).select("path", F.lit(True).alias("is_directory"))
     nodes = parents.unionByName(image.select(F.col("target").alias("path"), F.lit(False).alias("is_directory")))
     numbered = windows.ordinals(nodes, start=1)
     hashed = numbered.withColumn("hash", joins.hash31(F.concat(F.lit("/"), F.col("path"))))

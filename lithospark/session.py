@@ -48,19 +48,21 @@ def ship(spark: SparkSession) -> None:
         _shipped[context.applicationId] = archive
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the folder that spark.checkpoint.dir names and drop its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Only a local run may do without one; a cluster's machines share no temporary folder."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        named = os.path.join(tempfile.gettempdir(), "lithospark-checkpoints")
+    return named
 
-    The folder is shared on a cluster, so a lost executor loses nothing. Only
-    where the setting is absent (tests, local runs) is a temporary folder used.
-    """
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise df in the shared folder and drop its lineage, so a lost executor loses nothing."""
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            shared = os.path.join(tempfile.gettempdir(), "lithospark-checkpoints")
-        context.setCheckpointDir(shared)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 

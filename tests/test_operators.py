@@ -109,6 +109,49 @@ def test_walks_differ_on_hard_links(spark):
     assert once == {"a", "b", "a/sub", "a/sub/file"}
     assert [r.path for r in trees.preorder(trees.tree_walk(edges)).collect()][:3] == ["a", "a/sub", "a/sub/file"]
     assert trees.tree_walk(edges.limit(0)).count() == 0
+    assert trees.tree_walk(edges, max_depth=3).count() == len(every)
+    with pytest.raises(ValueError, match="deeper than 2"):
+        trees.tree_walk(edges, max_depth=2)
+
+
+def test_global_walk_is_the_depth_first_one(spark):
+    import random
+
+    for seed in range(4):
+        draw = random.Random(seed)
+        edges = [("f", draw.randrange(9), k, draw.randrange(9), 3, f"n{k}") for k in range(26)]
+        below: dict = {}
+        for e in edges:
+            below.setdefault(e[1], []).append(e)
+        met: dict = {}
+
+        def visit(node, path):
+            for _, _, _, inode, _, name in sorted(below.get(node, []), key=lambda e: e[2]):
+                if inode not in met:
+                    met[inode] = path + name
+                    visit(inode, met[inode] + "/")
+
+        visit(0, "")
+        got = trees.tree_walk_global(spark.createDataFrame(edges, "file string, parent long, ordinal long, inode long, type int, name string"))
+        assert {r.inode: r.path for r in got.collect()} == met
+
+
+def test_neighbours_and_ranks(spark):
+    data = [(g, k, (k * 37) % 11) for g in "ab" for k in range(40)]
+    df = spark.createDataFrame(data, "g string, k long, v long").repartition(5)
+    after = {(r.g, r.k): r.n for r in windows.neighbour(df, "v", ["k"], "n", ["g"]).collect()}
+    before = {(r.g, r.k): r.n for r in windows.neighbour(df, "v", ["k"], "n", ["g"], forward=False).collect()}
+    value = {(g, k): v for g, k, v in data}
+    assert after == {(g, k): value.get((g, k + 1)) for g, k in value}
+    assert before == {(g, k): value.get((g, k - 1)) for g, k in value}
+    got = {(r.g, r.k): r.rn for r in ordering.ranked(df, ["g"], -F.col("k")).collect()}
+    assert got == {(g, k): 40 - k for g, k in value}
+
+
+def test_directories_and_case(spark):
+    files = spark.createDataFrame([("x/y/z/f",), ("https://h/a/b",), ("https://h/a/c",), ("top",), ("X/y/z/g",)], "path string")
+    assert tuple(aggregate.directory_totals(files).first()) == (5, 3)
+    assert sorted(r.path for r in overlay.parent_closure(files.where("path like '%/z/%'"), fold=False).collect()) == ["X", "X/y", "X/y/z", "x", "x/y", "x/y/z"]
 
 
 def test_orders_and_digests(spark):

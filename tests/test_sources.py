@@ -132,9 +132,9 @@ def test_container_blocks(spark, tmp_path):
     table = load("container_table")
     assert table.count() == 602
     assert w.validate_containers(load("container_header"), table, load("container_blocks")).count() == 0
-    files = spark.createDataFrame([(str(path), "raw", 0, 1), (str(path), "packed", 0, 2), (str(path), "beyond", 600, 5), (str(path), "empty", 3, 0)], "file string, path string, start_block long, block_count long")
+    files = spark.createDataFrame([(str(path), "first", 0, 2), (str(path), "raw", 599, 1), (str(path), "packed", 1, 2), (str(path), "beyond", 600, 5), (str(path), "empty", 3, 0)], "file string, path string, start_block long, block_count long")
     policies, stats = w.container_profile(load("container_blocks"), files)
-    assert {r.path: r.policy for r in policies.collect()} == {"raw": "disable", "packed": "enable", "beyond": "none", "empty": "none"}
+    assert {r.path: r.policy for r in policies.collect()} == {"first": "none", "raw": "disable", "packed": "enable", "beyond": "none", "empty": "none"}
     assert stats.first().raw_blocks == 2
     data = bytearray(path.read_bytes())
     data[BLOCK + BLOCK + 20] ^= 255
