@@ -3,9 +3,15 @@
 A page is cut into blocks at block-level tags. The first pass decides by
 structure, link density, length and stop-word density: blocks of menus, adverts
 and the like, and blocks made of links, are bad; long blocks of running words
-are good; short ones, and long ones of few stop words inside an article, stay
-open. The second pass gives each open block the label of the nearest decided
-one: inside an article only blocks of that article count.
+are good; short ones, and long ones of few stop words, stay open. The second
+pass gives each open block the label of the nearest decided one: inside an
+article only blocks of that article count.
+
+Stop words are those of four languages and the short words that come back in
+the page's own long blocks; text in other scripts than Latin is judged without.
+Names (classes and ids) count as whole tokens only. A few reject an element,
+but none that holds the article, and none at all where no text would be left;
+the others only reject short blocks.
 """
 
 from __future__ import annotations
@@ -43,15 +49,18 @@ BLOCK_TAGS = frozenset(
 #: Elements whose place is kept, so that what they hold can be told.
 HOLDERS = frozenset("article aside body dialog div dl fieldset figure footer form header main menu nav noscript ol section select span table td ul".split())
 OUTSIDE = frozenset("aside dialog footer form header menu nav noscript select".split())
-RAW = frozenset("head iframe math object script style svg template textarea title button".split())
+RAW = frozenset("annotation annotation-xml button head iframe object script style svg template textarea title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Whole class or id tokens: a part of one may tell of the page (has-sidebar), or of what an article is about (tag-europe).
+#: Whole class or id tokens; a part of one may tell of the page (has-sidebar), or of what an article is about (tag-europe).
 NAMES = re.compile(
-    r"(?:ads?|adverts?|advertisements?|advertising|banners?|breadcrumbs?|comments?|consent|cookies?|cookie-(?:banner|consent|notice)|disqus|discussion|footers?|gdpr|head(?:er)?|login|menus?|modal|"
-    r"nav(?:s|bar|igation)?|newsletter|notices?|paywall|popups?|promos?|promotions?|recommend(?:ed|ations?)|related|repl(?:y|ies)|respond|search|shar(?:e|ing)|sidebars?|social|sponsors?|sponsored|"
-    r"subscri(?:be|ptions?)|tags?|toolbar|topbar|widgets?)",
+    r"(?:ads?|adverts?|advertisements?|advertising|banners?|breadcrumbs?|comments?|(?:reader|user)-?comments?|comments?-?(?:area|body|list|section|thread)|consent|cookies?|cookie-(?:banner|consent|notice)|"
+    r"disqus(?:_thread)?|footers?|gdpr|login|menus?|modal|nav(?:s|bar|igation)?|newsletter|notices?|paywall|popups?|promos?|repl(?:y|ies)|respond|sidebars?|sponsors?|sponsored|subscri(?:be|ptions?)|toolbar|topbar|widgets?)",
     re.I,
 )
+#: Tokens that say something of short blocks only.
+HINTS = re.compile(r"(?:discussion|promotions?|recommend(?:ed|ations?)|related|search|shar(?:e|ing)|social|tags?)", re.I)
+#: These do so outside of an article; inside, its title may stand there.
+TOPS = re.compile(r"head(?:er)?", re.I)
 ROLES = frozenset("banner complementary contentinfo dialog form navigation search alert".split())
 #: A tag without quotes or the beginning of one; tag_end() finds where the latter ends. Nothing here looks back.
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/><]*+)(?:([^<>\"']*+)>)?+", re.S)
@@ -61,6 +70,9 @@ PLAIN = re.compile(r"[^<>]*+>")
 ATTRIBUTE = re.compile(r"[\s/]*+(=?+[^\s/<>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s<>]*+)))?+")
 
 
+RAW_END = {x: re.compile(rf"</{x}\s*>|(?=<body[\s>])" if x == "head" else rf"</{x}[^>]*>", re.I) for x in RAW}
+
+
 def tag_end(page: str, at: int, dead: set[int]) -> int:
     """Where the tag ends whose name ends at at, or -1 if no tag is there. Quoted values may hold anything but their quote.
 
@@ -88,45 +100,49 @@ def tag_end(page: str, at: int, dead: set[int]) -> int:
     return plain.end() if plain else -1
 
 
-def unwanted(name: str, attributes: str, inside: bool) -> tuple[bool, bool]:
-    """Whether an element holds no part of an article: by what it is, and by its names. inside: it lies in one."""
+def unwanted(name: str, attributes: str, inside: bool) -> tuple[bool, bool, bool]:
+    """Whether an element holds no part of an article: by what it is, by its names, or if short by its names. inside: it lies in one."""
     if name in OUTSIDE and not (inside and name == "header"):
-        return True, False
-    named = False
-    if not attributes:
-        return False, named
-    for m in ATTRIBUTE.finditer(attributes):
+        return True, False, False
+    named = hinted = False
+    for m in ATTRIBUTE.finditer(attributes) if attributes else ():
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").strip()
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "role" and value.lower() in ROLES:
-            return True, False
-        if key in ("class", "id") and name not in ("article", "body", "html", "main") and any(map(NAMES.fullmatch, value.split())):
-            named = True
-    return False, named
+            return True, False, False
+        if key in ("class", "id") and name not in ("article", "body", "html", "main"):
+            tokens = value.split()
+            named = named or any(map(NAMES.fullmatch, tokens))
+            hinted = hinted or any(map(HINTS.fullmatch, tokens)) or not inside and any(map(TOPS.fullmatch, tokens))
+    return False, named, hinted
 
 
-def blocks_of(page: str) -> list[tuple[str, int, bool, int]]:
-    """(text, characters in links, unwanted, article number or 0) of each block that has text.
+def blocks_of(page: str) -> list[tuple[str, int, bool, bool, bool, int]]:
+    """(text, characters in links, unwanted by structure, by names, by names if short, article number or 0) of each block that has text.
 
     Names reject no element around an outermost article or main, unless another
     of these lies outside of all that names reject.
     """
-    out: list[tuple[str, int, bool, int, int]] = []
-    stack: list[tuple[str, bool, int, int]] = []
+    out: list[tuple[str, int, bool, int, bool, bool, int]] = []
+    stack: list[tuple[str, bool, bool, int, int]] = []
     around: list[int] = []
     parts: list[str] = []
     linked: list[str] = []
     anchor = articles = at = 0
-    bad, article = False, 0
+    bad, hinted, article = False, False, 0
+    once = False, False, False  # what the block's own tag says of it
+    absent: set[str] = set()  # elements without text that are not closed any more
     named, outer = 0, {}  # where the innermost element starts that is rejected by name, and for each the one around it
 
     def close() -> None:
+        nonlocal once
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 links = len(" ".join(html.unescape(" ".join(linked)).split())) if linked else 0
-                out.append((text, links, bad, article, named))
+                out.append((text, links, bad or once[0], named, once[1], hinted or once[2], article))
             parts.clear()
             linked.clear()
+        once = False, False, False
 
     def put(text: str) -> None:
         if text:
@@ -158,15 +174,17 @@ def blocks_of(page: str) -> list[tuple[str, int, bool, int]]:
                 if name in HOLDERS and any(x[0] == name for x in stack):
                     while stack.pop()[0] != name:
                         pass
-                    now = stack[-1][1:] if stack else (False, 0, 0)
-                    if (now[0], now[2]) != (bad, named):
+                    now = stack[-1][1:] if stack else (False, False, 0, 0)
+                    if (now[0], now[1], now[3]) != (bad, hinted, named):
                         close()
-                    bad, article, named = now
+                    bad, hinted, article, named = now
             continue
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*>|(?=<body[\s>])" if name == "head" else rf"</{re.escape(name)}[^>]*>", re.I).search(page, at)
             if attributes.endswith("/"):
                 continue
+            end = None if name in absent else RAW_END[name].search(page, at)
+            if end is None:
+                absent.add(name)
             if name == "head":
                 close()
             at = end.end() if end else (at if name in ("head", "button") else len(page))
@@ -180,10 +198,10 @@ def blocks_of(page: str) -> list[tuple[str, int, bool, int]]:
                 anchor = 0
                 close()
             if name in HOLDERS and not attributes.endswith("/"):
-                worse, by_name = unwanted(name, attributes, article > 0)
-                if worse and not bad or by_name:
+                worse, by_name, if_short = unwanted(name, attributes, article > 0)
+                if worse and not bad or by_name or if_short and not hinted:
                     close()
-                bad = bad or worse
+                bad, hinted = bad or worse, hinted or if_short
                 if by_name:
                     outer[at] = named
                     named = at
@@ -192,9 +210,9 @@ def blocks_of(page: str) -> list[tuple[str, int, bool, int]]:
                         around.append(named)
                     articles += 1
                     article = articles
-                stack.append((name, bad, article, named))
-        elif name not in VOID and attributes and any(unwanted(name, attributes, article > 0)) and name in ("p", "b", "i", "em"):
-            close()
+                stack.append((name, bad, hinted, article, named))
+            elif name in BLOCK_TAGS and attributes:
+                once = unwanted(name, attributes, article > 0)
     put(page[at:])
     close()
     spared = {0}
@@ -203,11 +221,27 @@ def blocks_of(page: str) -> list[tuple[str, int, bool, int]]:
             while x not in spared:
                 spared.add(x)
                 x = outer[x]
-    return [(text, links, bad or x not in spared, article) for text, links, bad, article, x in out]
+    return [(text, links, bad, x not in spared or own, short, article) for text, links, bad, x, own, short, article in out]
+
 
+def common_words(blocks: list[tuple]) -> set[str]:
+    """Short words that come back in at least three, and a fifth, of a page's long blocks."""
+    seen: dict[str, int] = {}
+    long = [b[0] for b in blocks if len(b[0]) >= LONG]
+    for text in long:
+        for w in {x for x in text.lower().split() if len(x) <= 4 and x.isalpha()}:
+            seen[w] = seen.get(w, 0) + 1
+    return {w for w, n in seen.items() if n >= max(3, len(long) / 5)}
 
-def label(text: str, links: int, bad: bool, article: int) -> bool | None:
-    """True for text, False for what surrounds it, None where a block alone can't tell."""
+
+def latin(text: str) -> bool:
+    """Whether at least half of the letters are Latin ones."""
+    letters = [c for c in text if c.isalpha()]
+    return 2 * sum(c < "\u0250" or "\u1e00" <= c < "\u1f00" for c in letters) >= len(letters)
+
+
+def label(text: str, links: int, bad: bool, short: bool, article: int, own: set[str]) -> bool | None:
+    """True for text, False for what surrounds it, None where a block alone can't tell. own: common_words() of the page."""
     if bad:
         return False
     n = len(text)
@@ -215,23 +249,20 @@ def label(text: str, links: int, bad: bool, article: int) -> bool | None:
         # A sentence of an article may be a link as a whole; rows of links stand outside.
         return None if article else False
     if n < LONG:
-        return None
+        return False if short else None
     words = text.lower().split()
-    density = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
-    if density >= STOP_DENSITY:
-        return True
-    return None if article else False
+    density = sum(w.strip(".,;:!?\"'()") in STOP_WORDS or w in own for w in words) / len(words)
+    return True if density >= STOP_DENSITY or not latin(text) else None
 
 
-def main_text(page: str) -> str:
-    """The blocks of the article, in page order, joined by one space."""
-    blocks = blocks_of(page)
-    labels = [label(*b) for b in blocks]
-    inside = any(b[3] and not b[2] for b in blocks)
+def labelled(blocks: list[tuple[str, int, bool, bool, int]], own: set[str]) -> list[bool]:
+    """The two passes over (text, characters in links, bad, bad if short, article) blocks."""
+    labels = [label(*b, own) for b in blocks]
+    inside = any(b[4] and not b[2] for b in blocks)
     good = any(labels)
     if not good and not inside:
         # Nothing stands out as text: all that is no menu or the like may be.
-        labels = [False if bad or links > LINKS * len(text) else None for text, links, bad, _ in blocks]
+        labels = [False if bad or links > LINKS * len(text) else None for text, links, bad, _, _ in blocks]
     decided = list(labels)
     n = len(blocks)
 
@@ -240,14 +271,14 @@ def main_text(page: str) -> str:
         seen: dict[int, tuple[int, bool]] = {}
         out: list[tuple[int, bool] | None] = [None] * n
         for i in order:
-            home = blocks[i][3]
+            home = blocks[i][4]
             out[i] = seen.get(home)
             if labels[i] is not None and not (home and blocks[i][2]):
                 seen[home] = (i, labels[i])
         return out
 
     before, after = nearest(range(n)), nearest(range(n - 1, -1, -1))
-    for i, (_, _, _, article) in enumerate(blocks):
+    for i, (_, _, _, _, article) in enumerate(blocks):
         if labels[i] is not None:
             continue
         near = [x for x in (before[i], after[i]) if x is not None]
@@ -258,7 +289,19 @@ def main_text(page: str) -> str:
             found = {text for j, text in near if abs(j - i) == distance}
             # Between text and surroundings: part of the article if it lies in one.
             decided[i] = found.pop() if len(found) == 1 else bool(article)
-    return " ".join(b[0] for b, text in zip(blocks, decided, strict=True) if text)
+    return decided
+
+
+def main_text(page: str) -> str:
+    """The blocks of the article, in page order, joined by one space."""
+    blocks = blocks_of(page)
+    own = common_words(blocks)
+    by_name = [(text, links, bad or named, short, article) for text, links, bad, named, short, article in blocks]
+    if not any(b[4] and not b[2] or label(*b, own) for b in by_name):
+        # No article and no text is left: where there is some without them, the names mislead.
+        bare = [(text, links, bad, False, article) for text, links, bad, _, _, article in blocks]
+        by_name = bare if any(label(*b, own) for b in bare) else by_name
+    return " ".join(b[0] for b, text in zip(by_name, labelled(by_name, own), strict=True) if text)
 
 
 def _extract(column: str):

@@ -1,14 +1,18 @@
 """Quality classifier, nearest neighbours, HTML extraction and quotation linking."""
 
+import os
 import random
+import time
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from lithospark.llm import quality, queries, vamana
 from lithospark.llm.html_extract import extract_main_text, main_text
 from lithospark.llm.quotes import link_quotes, parse
+from tests.llm.plain_html import plain_text
 
 
 def prose(rng, junk):
@@ -190,3 +194,49 @@ def test_quotes_edges(spark):
     assert parse(">>> deep\n> shallow")[0] == "" and {p[0] for p in parse(">>> deep\n> shallow")[1]} == {1, 3}
     big = parse("> " + "word " * 20_000)
     assert big[1][0][2] == 20_000
+
+
+RAIN = "The rain was on the hills and it did not stop for the whole of the day, so the people of the town went to the river."
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables")
+def test_html_against_a_plain_version():
+    pages = [r["html"] for r in pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist()]
+    assert len(pages) > 200
+    made = [
+        f'<nav><a href="/">Home</a></nav><div class="site has-sidebar"><main><h1>Title</h1><p>{RAIN}</p><div class="share">Share it</div><p>Short.</p><div class="comments"><p>{RAIN} No.</p></div></main><div class="related">More</div></div>',
+        f"<header><h1>Site</h1></header><p>{RAIN}</p><p>Short.</p><ul><li><a>one</a></li><li><a>two</a></li></ul><p>Open</p><footer>us</footer>",
+        "<div><p>Nothing long here.</p><p><a>link</a></p></div>",
+    ]
+    for page in pages + made:
+        assert main_text(page or "") == plain_text(page or "")
+
+
+def test_html_names_never_empty_an_article():
+    nav = '<nav><a href="/">Home</a></nav>'
+    for name in ("football-report", "navy-news", "post head", "related-work", "share-price", "social-policy", "recommended-reading", "header-image-article", "discussion", "related", "search"):
+        assert main_text(f'{nav}<article><div class="{name}"><p>{RAIN}</p><p>{RAIN}</p></div></article>') == f"{RAIN} {RAIN}"
+    assert main_text(f'<article class="post-12 post type-post tag-python"><p>{RAIN}</p></article>') == RAIN
+    assert main_text(f'<article id="discussion-of-rivers"><p>{RAIN}</p></article>') == RAIN
+    # Where names leave no text at all, they are not believed; where they do, they are.
+    assert main_text(f'{nav}<div class="notice"><p>{RAIN}</p></div>') == RAIN
+    assert main_text(f'<p>{RAIN}</p><div class="notice"><p>{RAIN} No.</p></div><p class="ad">{RAIN} No.</p>') == RAIN
+    assert main_text(f'<article><p>{RAIN}</p><div class="tags">red, blue</div><ol class="commentlist"><li>{RAIN} No.</li></ol></article>') == RAIN
+
+
+def test_html_of_other_languages():
+    ru = "Дождь шёл весь день, и люди города пошли к реке, чтобы посмотреть, как высоко поднялась вода у старого моста."
+    pl = "Deszcz padał przez cały dzień i nie chciał przestać, a ludzie z miasta poszli nad rzekę, by na nią popatrzeć."
+    nav = '<nav><a href="/">Home</a></nav>'
+    for text in (ru, pl):
+        for frame in ("{}", "<article>{}</article>", "<div>{}</div>"):
+            body = f"<p>{text}</p>" * 5 + f"<p>{RAIN}</p>" + f"<p>{text}</p>" * 2
+            assert main_text(nav + frame.format(body) + "<footer>us</footer>") == " ".join([text] * 5 + [RAIN] + [text] * 2)
+    assert main_text(f"<article><p>{RAIN}</p><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds.</p></article>") == f"{RAIN} So x=2 holds."
+
+
+def test_html_damaged_pages_take_linear_time():
+    for junk in ("<button>", "<head>", "<svg ", '<div class="x', "<a b='", "<!--", "<![CDATA["):
+        began = time.monotonic()
+        main_text(f"<p>{RAIN}</p>" + junk * 60_000)
+        assert time.monotonic() - began < 5
