@@ -3,16 +3,20 @@
 Anchors are the non-overlapping blocks of window/2 words of every document; the
 probes are all rolling blocks of that length. A repeated window holds a whole
 anchor of its other occurrence, so only windows near a block that is an anchor
-somewhere and occurs more than once can be repeats. Hashes of blocks meet in
-packed parts; a block that a batch holds more than once is sent once for it.
+somewhere and occurs more than once can be repeats. Batches of text ask the
+parts of hash space which of their blocks are such hits; a block that a batch
+holds more than once is asked for once.
 
-Near such hits every window is hashed and its first start found (the least id,
-then the least position); a batch sends the first start it has. Windows that
-start earlier elsewhere are repeats; overlapping ones together are the maximal
-repeats, and their words go.
+Hits are extended to windows: near them every window is hashed, and batches ask
+where it starts first (the least id, then the least position); each sends the
+first start it has. Windows that start earlier elsewhere are repeats;
+overlapping ones together are the maximal repeats, and their words go. Only
+documents with hits travel for that, and documents without repeats stay where
+they are; long texts are worked on in pieces.
 
 A window is told by its part and a 64-bit hash that is independent of the part;
-parts grow with the data, so chance matches stay as rare at any size.
+parts grow with the data, so chance matches stay as rare at any size. Documents
+are told by a 64-bit hash of their key and text.
 """
 
 from __future__ import annotations
@@ -22,41 +26,46 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lithospark.llm.columns import Passing
 from lithospark.llm.parts import cut_parts, joined, low, owned_rows, part_count, part_of
-from lithospark.llm.textkernel import U64, Words, grams, slices, space_words, text_buffer
-from lithospark.session import cut, release
+from lithospark.llm.textkernel import U64, Piece, grams, pieces, space_words
+from lithospark.session import cut
 
 WORD_BYTES = 6
-#: Text that a task takes at once in the last two steps.
-BUCKET_BYTES = 4 << 20
 LAST = 2**63 - 1
+#: Hashes of documents that may be broadcast; beyond, a shuffle joins them.
+BROADCAST_ROWS = 1_000_000
 
 
-def _blocks(words: Words, column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of words, first words, hashes of words, and hashes of rolling blocks."""
-    data, offsets = text_buffer(column)
-    starts, ends, first = words.split(data, offsets)
-    hashes = words.hashes(data, starts, ends)
-    return starts, ends, first, hashes, grams(hashes, size, 11)
+def _inside(piece: Piece, size: int, least: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Begins of rolling blocks that lie within a text, and the texts (of the piece); whole texts of less than least words have none."""
+    count = np.diff(piece.first)
+    here = np.maximum(count - size + 1, 0)
+    if piece.last and not piece.base:
+        here[count < least] = 0
+    text = np.repeat(np.arange(len(here)), here)
+    return piece.first[text] + np.arange(len(text)) - np.repeat(np.cumsum(here) - here, here), text
 
 
-def _inside(first: np.ndarray, size: int, least: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Begins of rolling blocks that lie within a text of at least least words, and the texts."""
-    count = np.diff(first)
-    here = np.where(count >= least, count - size + 1, 0)
-    text = np.repeat(np.arange(len(count)), here)
-    at = first[text] + np.arange(len(text)) - np.repeat(np.cumsum(here) - here, here)
-    return at, text
+def fold(part: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """32 bits of a block's part and lower bits, to know it again near by. The lowest bit of those marks anchors."""
+    return (lower & np.uint32(0xFFFFFFFE)) ^ (part.astype(np.uint32) * np.uint32(0x9E3779B1))
 
 
-def _key(tokens: np.ndarray, parts: int) -> np.ndarray:
-    return (part_of(tokens, parts) << 32) | (low(tokens) & np.uint32(0xFFFFFFFE)).astype(np.int64)
+def by_run(owner: np.ndarray, *values: np.ndarray) -> tuple[bytes, bytes, list[bytes]]:
+    """Owners of runs, lengths of runs, and the values in that order."""
+    order = np.argsort(owner, kind="stable")
+    o = owner[order]
+    change = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
+    return o[change].tobytes(), np.diff(np.append(change, len(o))).astype(np.uint32).tobytes(), [v[order].tobytes() for v in values]
+
+
+ASKED = pa.schema([("part", pa.int32()), ("batch", pa.int64()), ("base", pa.int64()), *((c, pa.binary()) for c in ("owners", "runs", "tokens", "multi"))])
+OFFER = "part int, batch long, base long, owners binary, runs binary, tokens binary, multi binary"
 
 
 def _offer(window: int, parts: int):
@@ -64,235 +73,223 @@ def _offer(window: int, parts: int):
     size = window // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, spread = space_words(fold=False), TaskContext.get().partitionId() * 7919
+        words, number = space_words(fold=False), TaskContext.get().partitionId() << 32
         for whole in batches:
-            for batch in slices(whole, "body"):
-                ids = batch.column("id").to_numpy()
-                _, _, first, _, blocks = _blocks(words, batch.column("body"), size)
-                at, text = _inside(first, size, window, len(blocks))
+            ids = whole.column("k").to_numpy()
+            for piece in pieces(words, whole.column("body"), size - 1):
+                at, text = _inside(piece, size, window)
                 if not len(at):
                     continue
-                anchor = (at - first[text]) % size == 0
-                tokens = (blocks[at] & U64(0xFFFFFFFFFFFFFFFE)) | anchor.astype(U64)
+                number += 1
+                own = ids[piece.begin : piece.end][text]
+                blocks = grams(words.hashes(piece.data, piece.starts, piece.ends), size, 11)[at]
+                anchor = (piece.base + at - piece.first[text]) % size == 0
+                tokens = (blocks & U64(0xFFFFFFFFFFFFFFFE)) | anchor.astype(U64)
                 bare = tokens & U64(0xFFFFFFFFFFFFFFFE)
                 order = np.argsort(bare, kind="stable")
                 sorted_ = bare[order]
-                new = np.concatenate([[True], sorted_[1:] != sorted_[:-1]])
-                begin = np.flatnonzero(new)
+                begin = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
                 runs = np.diff(np.append(begin, len(sorted_)))
                 repeated = np.empty(len(tokens), bool)
                 repeated[order] = np.repeat(runs > 1, runs)
                 many = (sorted_[begin] | np.maximum.reduceat(anchor[order].astype(U64), begin))[runs > 1]
                 rows = []
                 if repeated.any():
-                    spread += 1
-                    hit = pd.DataFrame({"t": text[repeated], "k": _key(tokens[repeated], parts)}).drop_duplicates()
-                    n = np.bincount(hit.t, minlength=len(ids))
-                    rows.append((spread % parts, ids[n > 0].tobytes(), n[n > 0].astype(np.uint32).tobytes(), b"", hit.sort_values("t", kind="stable").k.to_numpy().tobytes()))
+                    hit = tokens[repeated]
+                    owners, lengths, (keys,) = by_run(own[repeated], fold(part_of(hit, parts), low(hit)))
+                    rows.append((number * 7919 % parts, number, piece.base, owners, lengths, b"", keys))
                 order, begin = cut_parts(many, parts)
                 multi = {p: low(many[order[begin[p] : begin[p + 1]]]).tobytes() for p in np.flatnonzero(np.diff(begin)).tolist()}
                 singles = tokens[~repeated]
-                for p, owners, runs_, take in owned_rows(ids[text[~repeated]], singles, parts):
-                    rows.append((p, owners, runs_, low(singles[take]).tobytes(), multi.pop(p, b"")))
-                rows += [(p, b"", b"", b"", body) for p, body in multi.items()]
-                part, owners, runs_, low_bits, more = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *(pa.array(x, pa.binary()) for x in (owners, runs_, low_bits, more))], ["part", "owners", "runs", "tokens", "more"])
+                for p, owners, lengths, take in owned_rows(own[~repeated], singles, parts):
+                    rows.append((p, number, piece.base, owners, lengths, low(singles[take]).tobytes(), multi.pop(p, b"")))
+                rows += [(p, number, piece.base, b"", b"", b"", body) for p, body in multi.items()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), ASKED, strict=True)], schema=ASKED)
 
     return run
 
 
-def bucket_of(ids: np.ndarray, buckets: int) -> np.ndarray:
-    return (ids ^ (ids >> 17) ^ (ids >> 31)) % buckets
+ANSWER = "batch long, base long, owners binary, runs binary, keys binary"
 
 
-def bucket_column(order: Column, buckets: int) -> Column:
-    """The same for a column of longs."""
-    return F.pmod(order.bitwiseXOR(F.shiftright(order, 17)).bitwiseXOR(F.shiftright(order, 31)), F.lit(buckets)).cast("int")
+def split_told(rows: pd.DataFrame, asked: str) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """Rows that only tell what their batch knows, and rows that ask."""
+    told = (rows[asked].str.len() == 0) & (rows.runs.str.len() > 0)
+    return rows[told], rows[~told]
 
 
-def _packed(owner: np.ndarray, values: list[np.ndarray], buckets: int) -> tuple[list[int], list[list[bytes]]]:
-    """Buckets, and for each the owners of runs, the lengths of runs and what belongs to them of each array."""
-    bucket = bucket_of(owner, buckets)
-    order = np.lexsort((owner, bucket))
-    o, b = owner[order], bucket[order]
-    values = [v[order] for v in values]
-    edge = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else np.zeros(0, np.int64)
-    out: list[list[bytes]] = [[] for _ in range(2 + len(values))]
-    for x, y in zip(edge.tolist(), [*edge[1:].tolist(), len(b)], strict=False):
-        change = np.flatnonzero(np.concatenate([[True], o[x + 1 : y] != o[x : y - 1]]))
-        parts = (o[x:y][change], np.diff(np.append(change, y - x)).astype(np.uint32), *(v[x:y] for v in values))
-        for column, part in zip(out, parts, strict=True):
-            column.append(part.tobytes())
-    return b[edge].tolist(), out
+def answered(rows: pd.DataFrame, row: np.ndarray, owner: np.ndarray, value: np.ndarray) -> list[tuple]:
+    """For each of the rows that some values belong to: batch, base, and the values by owner."""
+    order = np.argsort(row, kind="stable")
+    row, owner, value = row[order], owner[order], value[order]
+    edge = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
+    batch, base, out = rows.batch.to_numpy(), rows.base.to_numpy(), []
+    for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(row)], strict=False):
+        owners, runs, (values,) = by_run(owner[a:b], value[a:b])
+        out.append((batch[row[a]], base[row[a]], owners, runs, values))
+    return out
 
 
-def _hits(buckets: int):
-    """For the documents of each bucket, their blocks that are anchors somewhere and occur more than once.
+def _hits(rows: pd.DataFrame) -> pd.DataFrame:
+    """For each row that asks, its blocks that are anchors somewhere and occur more than once."""
+    part = np.int64(rows.part.iloc[0])
+    told, rows = split_told(rows, "tokens")
+    out = list(zip(told.batch, told.base, told.owners, told.runs, told.multi, strict=True))
+    token, multi = joined(rows.tokens, np.uint32), joined(rows.multi, np.uint32)
+    owner = np.repeat(joined(rows.owners, np.int64), joined(rows.runs, np.uint32))
+    row = np.repeat(np.arange(len(rows)), rows.tokens.str.len().to_numpy() // 4)
+    every = np.concatenate([token, multi])
+    _, inverse = np.unique(every & np.uint32(0xFFFFFFFE), return_inverse=True)
+    times = np.bincount(inverse, np.concatenate([np.ones(len(token)), np.full(len(multi), 2)]))
+    anchors = np.bincount(inverse, every & np.uint32(1))
+    live = ((times > 1) & (anchors > 0))[inverse[: len(token)]]
+    out += answered(rows, row[live], owner[live], fold(part, token[live]))
+    return pd.DataFrame(out, columns=["batch", "base", "owners", "runs", "keys"])
 
-    Of this part the lower bits (part >= 0), of repeats within a batch the keys.
-    """
+
+def _by_document(column: str):
+    """One row for each document of a batch: (k, base, values), from the answers to the batch."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        part = int(rows.part.iloc[0])
-        told = rows[(rows.tokens.str.len() == 0) & (rows.runs.str.len() > 0)]
-        rows = rows.drop(told.index)
-        owner = np.repeat(joined(rows.owners, np.int64), joined(rows.runs, np.uint32))
-        token, multi = joined(rows.tokens, np.uint32), joined(rows.more, np.uint32)
-        every = np.concatenate([token, multi])
-        _, inverse = np.unique(every & np.uint32(0xFFFFFFFE), return_inverse=True)
-        times = np.bincount(inverse, np.concatenate([np.ones(len(token)), np.full(len(multi), 2)]))
-        anchors = np.bincount(inverse, every & np.uint32(1))
-        live = ((times > 1) & (anchors > 0))[inverse[: len(token)]]
-        out = []
-        for kind, who, found in (
-            (part, owner[live], token[live] & np.uint32(0xFFFFFFFE)),
-            (-1, np.repeat(joined(told.owners, np.int64), joined(told.runs, np.uint32)), joined(told.more, np.int64)),
-        ):
-            bucket, (owners, runs, keys) = _packed(who, [found], buckets)
-            out.append(pd.DataFrame({"bucket": bucket, "part": kind, "owners": owners, "runs": runs, "keys": keys}))
-        return pd.concat(out)
+        owner, value = np.repeat(joined(rows.owners, np.int64), joined(rows.runs, np.uint32)), joined(rows[column], np.uint32)
+        order = np.lexsort((value, owner))
+        o, v = owner[order], value[order]
+        keep = np.concatenate([[True], (o[1:] != o[:-1]) | (v[1:] != v[:-1])])
+        o, v = o[keep], v[keep]
+        edge = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
+        return pd.DataFrame({"k": o[edge], "base": rows.base.iloc[0], column: [x.tobytes() for x in np.split(v, edge[1:])]})
 
     return run
 
 
-HITS = "bucket int, part int, owners binary, runs binary, keys binary"
-
+def _whole(rows: DataFrame, column: str) -> DataFrame:
+    """(k, column as an array): what each piece of a document has. Equal rows say the same in each batch, so any one stands."""
+    return rows.groupBy("k", "base").agg(F.max(column).alias(column)).groupBy("k").agg(F.collect_list(column).alias(column))
 
-def _gathered(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """(document, key) of all hits in the rows, by document."""
-    who, keys = [], []
-    for part, owners, runs, found in zip(*(rows.column(c).to_pylist() for c in ("part", "owners", "runs", "keys")), strict=True):
-        who.append(np.repeat(np.frombuffer(owners, np.int64), np.frombuffer(runs, np.uint32)))
-        keys.append(np.frombuffer(found, np.int64) if part < 0 else (part << 32) | np.frombuffer(found, np.uint32).astype(np.int64))
-    who, keys = np.concatenate(who), np.concatenate(keys)
-    order = np.argsort(who, kind="stable")
-    return who[order], keys[order]
 
-
-WINDOWS = pa.schema([("part", pa.int32()), *((c, pa.binary()) for c in ("owners", "runs", "hashes", "positions", "checks"))])
+WINDOWS = pa.schema([("part", pa.int32()), ("batch", pa.int64()), ("base", pa.int64()), *((c, pa.binary()) for c in ("owners", "ids", "runs", "hashes", "positions"))])
 
 
 def _windows(window: int, parts: int, window_parts: int):
-    """Hashes and positions of the windows near hits: of each the first in the bucket; later ones are repeats at once."""
+    """Hashes and positions of the windows near hits: of each the first in the batch; later ones are repeats at once."""
     size = window // 2
 
-    def run(key, texts: pa.Table, hits: pa.Table) -> pa.Table:
-        if not texts.num_rows or not hits.num_rows:
-            return WINDOWS.empty_table()
-        words, rows = space_words(fold=False), []
-        who, keys = _gathered(hits)
-        texts = texts.filter(pa.compute.is_in(texts.column("id"), pa.array(np.unique(who)))).sort_by("id").combine_chunks()
-        # One text after another in order, so that the first start in the bucket is the least.
-        seen: dict[str, list] = {"told": [], "where": [], "id": [], "position": []}
-        for whole in texts.to_batches():
-            for batch in slices(whole, "body"):
-                ids = batch.column("id").to_numpy()
-                _, _, first, hashes, blocks = _blocks(words, batch.column("body"), size)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, number = space_words(fold=False), TaskContext.get().partitionId() << 32
+        for whole in batches:
+            ks, orders = whole.column("k").to_numpy(), whole.column("id").to_numpy()
+            keys = whole.column("keys")
+            for piece in pieces(words, whole.column("body"), window - 1):
+                hashes = words.hashes(piece.data, piece.starts, piece.ends)
+                at, text = _inside(piece, size)
+                begin, of = _inside(piece, window)
+                if not len(begin):
+                    continue
+                blocks = grams(hashes, size, 11)[at]
+                folded = fold(part_of(blocks, parts), low(blocks))
                 near = np.zeros(len(hashes) + 1, np.int64)
-                for t, (low_, high) in enumerate(zip(np.searchsorted(who, ids, "left").tolist(), np.searchsorted(who, ids, "right").tolist(), strict=True)):
-                    a, b = int(first[t]), int(first[t + 1]) - size + 1
-                    if b - a > size:
-                        near[a + 1 : b + 1] = np.isin(_key(blocks[a:b], parts), keys[low_:high])
+                edge = np.searchsorted(text, np.arange(piece.end - piece.begin + 1))
+                for t, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)):
+                    near[at[a:b] + 1] = np.isin(folded[a:b], joined(keys[piece.begin + t].as_py(), np.uint32))
                 near = np.cumsum(near)
-                begin, text = _inside(first, window, window, len(hashes))
-                close = near[begin + size + 1] > near[begin]
-                begin, text = begin[close], text[close]
-                seen["where"].append(grams(hashes, window, 12)[begin])
-                seen["told"].append(grams(hashes, window, 13)[begin])
-                seen["id"].append(ids[text])
-                seen["position"].append((begin - first[text]).astype(np.uint32))
-        told, where, ids, position = (np.concatenate(seen[c]) for c in ("told", "where", "id", "position"))
-        if not len(told):
-            return WINDOWS.empty_table()
-        _, earliest, inverse = np.unique(told, return_index=True, return_inverse=True)
-        lead = earliest[inverse]
-        # The same start in a repeated row is no later one.
-        same = np.flatnonzero((ids[lead] != ids) | (position[lead] != position))
-        if len(same):
-            order = same[np.argsort(ids[same], kind="stable")]
-            change = np.flatnonzero(np.concatenate([[True], ids[order][1:] != ids[order][:-1]]))
-            runs = np.diff(np.append(change, len(order))).astype(np.uint32)
-            rows.append((key[0].as_py() % window_parts, ids[order][change].tobytes(), runs.tobytes(), b"", position[order].tobytes(), low(told[order]).tobytes()))
-        at = np.sort(earliest)
-        for p, owners, runs, take in owned_rows(ids[at], where[at], window_parts):
-            rows.append((p, owners, runs, told[at][take].tobytes(), position[at][take].tobytes(), b""))
-        return pa.table(dict(zip(WINDOWS.names, zip(*rows, strict=True), strict=True)), schema=WINDOWS)
+                close = near[begin + window - size + 1] > near[begin]
+                begin, of = begin[close], of[close]
+                if not len(begin):
+                    continue
+                number += 1
+                where, told = grams(hashes, window, 12)[begin], grams(hashes, window, 13)[begin]
+                position = (begin - piece.first[of] + piece.base).astype(np.uint32)
+                k, id_ = ks[piece.begin : piece.end][of], orders[piece.begin : piece.end][of]
+                order = np.lexsort((position, k, id_))
+                where, told, position, k, id_ = where[order], told[order], position[order], k[order], id_[order]
+                _, earliest, inverse = np.unique(told, return_index=True, return_inverse=True)
+                lead = earliest[inverse]
+                rows = []
+                # The same start in a repeated row is no later one.
+                same = np.flatnonzero((k[lead] != k) | (position[lead] != position))
+                if len(same):
+                    owners, runs, (positions,) = by_run(k[same], position[same])
+                    rows.append((number * 7919 % window_parts, number, piece.base, owners, b"", runs, b"", positions))
+                first = np.sort(earliest)
+                for p, owners, runs, take in owned_rows(first, where[first], window_parts):
+                    # Owners are places here, so each is a run of its own; those of one document are joined.
+                    mine = first[take]
+                    change = np.flatnonzero(np.concatenate([[True], k[mine][1:] != k[mine][:-1]]))
+                    runs = np.diff(np.append(change, len(mine))).astype(np.uint32)
+                    rows.append((p, number, piece.base, k[mine][change].tobytes(), id_[mine][change].tobytes(), runs.tobytes(), told[mine].tobytes(), position[mine].tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), WINDOWS, strict=True)], schema=WINDOWS)
 
     return run
 
 
-def _later(buckets: int):
-    """For the documents of each bucket, the positions of windows that start earlier elsewhere, with bits to know them by."""
+def _later(rows: pd.DataFrame) -> pd.DataFrame:
+    """For each row that asks, the positions of windows that start earlier elsewhere."""
+    told, rows = split_told(rows, "hashes")
+    out = list(zip(told.batch, told.base, told.owners, told.runs, told.positions, strict=True))
+    runs = joined(rows.runs, np.uint32)
+    owner, id_ = np.repeat(joined(rows.owners, np.int64), runs), np.repeat(joined(rows.ids, np.int64), runs)
+    value, position = joined(rows.hashes, U64), joined(rows.positions, np.uint32)
+    row = np.repeat(np.arange(len(rows)), rows.hashes.str.len().to_numpy() // 8)
+    order = np.lexsort((position, owner, id_, value))
+    o, v, p = owner[order], value[order], position[order]
+    begin = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.zeros(0, np.int64)
+    lead = np.repeat(begin, np.diff(np.append(begin, len(v))))
+    later = (o != o[lead]) | (p != p[lead])
+    out += answered(rows, row[order][later], o[later], p[later])
+    return pd.DataFrame(out, columns=["batch", "base", "owners", "runs", "positions"])
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        told = rows[rows.hashes.str.len() == 0]
-        rows = rows.drop(told.index)
-        owner = np.repeat(joined(rows.owners, np.int64), joined(rows.runs, np.uint32))
-        value, position = joined(rows.hashes, U64), joined(rows.positions, np.uint32)
-        order = np.lexsort((position, owner, value))
-        o, v, p = owner[order], value[order], position[order]
-        begin = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.zeros(0, np.int64)
-        lead = np.repeat(begin, np.diff(np.append(begin, len(v))))
-        later = (o != o[lead]) | (p != p[lead])
-        bucket, (owners, runs, positions, checks) = _packed(
-            np.concatenate([o[later], np.repeat(joined(told.owners, np.int64), joined(told.runs, np.uint32))]),
-            [np.concatenate([p[later], joined(told.positions, np.uint32)]), np.concatenate([low(v[later]), joined(told.checks, np.uint32)])],
-            buckets,
-        )
-        return pd.DataFrame({"bucket": bucket, "owners": owners, "runs": runs, "positions": positions, "checks": checks})
-
-    return run
 
-
-LATER = "bucket int, owners binary, runs binary, positions binary, checks binary"
 SPANS = pa.list_(pa.struct([("first_word", pa.int64()), ("end_word", pa.int64())]))
 
 
 def _strip(window: int, text: str, others: list[str]):
-    def run(key, docs: pa.Table, later: pa.Table) -> pa.Table:
+    """Words, removed words, repeats and kept text of each row; positions (if there are any) tell its repeated windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = space_words(fold=False)
-        columns = {c: docs.column(c) for c in others}
-        if not docs.num_rows:
-            nothing = pa.array([], pa.int64())
-            return pa.table(columns | {"n_words": nothing, "n_removed": nothing, "repeats": pa.array([], SPANS), "kept_text": pa.array([], pa.string())})
-        unpack = lambda c, kind: joined(later.column(c).to_pylist(), kind)
-        who = np.repeat(unpack("owners", np.int64), unpack("runs", np.uint32))
-        order = np.argsort(who, kind="stable")
-        who, positions, checks = who[order], unpack("positions", np.uint32)[order], unpack("checks", np.uint32)[order]
-        parts: dict[str, list] = {c: [] for c in ("n_words", "n_removed", "repeats", "kept_text")}
-        for whole in docs.select(["_order", text]).to_batches():
-            for batch in slices(whole, text):
-                data, offsets = text_buffer(batch.column(text))
-                starts, ends, first = words.split(data, offsets)
-                told = None
-                gone = np.zeros(len(starts) + 1, np.int32)
-                ids = batch.column("_order").to_numpy()
-                for t, (a, b) in enumerate(zip(np.searchsorted(who, ids, "left").tolist(), np.searchsorted(who, ids, "right").tolist(), strict=True)):
-                    if b > a:
-                        if told is None:
-                            told = grams(words.hashes(data, starts, ends), window, 13)
-                        at, check = positions[a:b].astype(np.int64) + first[t], checks[a:b]
-                        fits = at + window <= first[t + 1]
-                        at, check = at[fits], check[fits]
-                        at = np.unique(at[low(told[at]) == check])
-                        gone[at] += 1
-                        gone[at + window] -= 1
+        for whole in batches:
+            n = whole.num_rows
+            n_words, n_removed = np.zeros(n, np.int64), np.zeros(n, np.int64)
+            spans: list[list[dict]] = [[] for _ in range(n)]
+            kept: list[pa.Array] = []
+            parts: list[str] = []
+            told = whole.column("positions") if "positions" in whole.schema.names else None
+            for piece in pieces(words, whole.column(text)):
+                gone = np.zeros(len(piece.starts) + 1, np.int32)
+                for t in range(piece.begin, piece.end):
+                    mine = told[t].as_py() if told is not None else None
+                    if mine:
+                        at = joined(mine, np.uint32).astype(np.int64) - piece.base
+                        a, b = int(piece.first[t - piece.begin]), int(piece.first[t - piece.begin + 1])
+                        at = np.unique(at[(at > -window) & (at < b - a)])
+                        np.add.at(gone, a + np.maximum(at, 0), 1)
+                        np.add.at(gone, np.minimum(a + at + window, b), -1)
                 gone = np.cumsum(gone[:-1]) > 0
                 count = np.concatenate([[0], np.cumsum(gone)])
+                here = slice(piece.begin, piece.end)
+                n_words[here] += np.diff(piece.first)
+                n_removed[here] += count[piece.first[1:]] - count[piece.first[:-1]]
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
-                spans: list[list[dict]] = [[] for _ in range(batch.num_rows)]
                 for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-                    t = int(np.searchsorted(first, a, "right")) - 1
+                    t = int(np.searchsorted(piece.first, a, "right")) - 1
                     while a < b:  # removed words of neighbouring texts touch here
-                        c = min(b, int(first[t + 1]))
+                        c, start = min(b, int(piece.first[t + 1])), piece.base - int(piece.first[t])
                         if c > a:
-                            spans[t].append({"first_word": a - int(first[t]), "end_word": c - int(first[t])})
+                            own = spans[piece.begin + t]
+                            if own and own[-1]["end_word"] == a + start:
+                                own[-1]["end_word"] = c + start
+                            else:
+                                own.append({"first_word": a + start, "end_word": c + start})
                         a, t = c, t + 1
-                parts["n_words"].append(pa.array(np.diff(first), pa.int64()))
-                parts["n_removed"].append(pa.array(count[first[1:]] - count[first[:-1]], pa.int64()))
-                parts["repeats"].append(pa.array(spans, SPANS))
-                parts["kept_text"].append(_kept(data, starts, ends, first, ~gone))
-        return pa.table(columns | {c: pa.chunked_array(v) for c, v in parts.items()})
+                found = _kept(piece.data, piece.starts, piece.ends, piece.first, ~gone)
+                if piece.base or not piece.last:
+                    parts += [x for x in found.to_pylist() if x]
+                    found = pa.array([" ".join(parts)], pa.large_string()) if piece.last else None
+                if piece.last:
+                    kept.append(found)
+                    parts = []
+            columns = [*(whole.column(c) for c in others), pa.array(n_words), pa.array(n_removed), pa.array(spans, SPANS), pa.concat_arrays(kept).cast(pa.string()) if kept else pa.array([], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, [*others, "n_words", "n_removed", "repeats", "kept_text"])
 
     return run
 
@@ -311,7 +308,7 @@ def _kept(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndar
     clean[ends[at[~last]]] = 32
     lengths = np.bincount(text, stop - starts[at], minlength=len(first) - 1).astype(np.int64)
     offsets = np.concatenate([[0], np.cumsum(lengths)])
-    return pa.Array.from_buffers(pa.large_string(), len(first) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(clean[mask].tobytes())]).cast(pa.string())
+    return pa.Array.from_buffers(pa.large_string(), len(first) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(clean[mask].tobytes())])
 
 
 def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 20) -> DataFrame:
@@ -320,30 +317,37 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     Words are runs without ASCII white space. Every word covered by a window of
     consecutive words that starts earlier as well (in a row of lesser key, or
     earlier in the same text) is removed, judged on the input; kept words are
-    joined by one space. Null texts have no words. Rows with a null key come
-    last in the order; rows that share a key count as one document: equal rows
-    keep the same words, and differing ones are ordered by position alone. key
-    is taken to be nearly unique: what belongs to one key is gathered. Columns
-    of docs that are named like the added ones are replaced.
+    joined by one space. The key must be a whole number or castable to one. Null
+    texts have no words. Rows with a null key come last in the order. Equal
+    rows count as one document; rows that share a key but not the text are
+    ordered by a hash of it. Texts of any length are worked on in pieces; a row
+    as such must fit in memory. Columns of docs that are named like the added
+    ones are replaced.
     """
-    spark = docs.sparkSession
     passing = Passing(docs, ["n_words", "n_removed", "repeats", "kept_text"], text)
-    text, docs, order = passing[text], passing.df, F.coalesce(F.col(passing[key]).cast("long"), F.lit(LAST))
-    texts = docs.select(order.alias("id"), F.col(text).alias("body"))
+    body, order = passing[text], F.coalesce(F.col(passing[key]).cast("long"), F.lit(LAST))
+    docs = passing.df.withColumn("_k", F.xxhash64(order, body))
+    texts = docs.select(F.col("_k").alias("k"), order.alias("id"), F.col(body).alias("body"))
     size = texts.agg(F.sum(F.octet_length("body").cast("long"))).first()[0] or 0
-    parts, buckets = part_count(size // WORD_BYTES), -(-size // BUCKET_BYTES) | 1
-    bucket = bucket_column(order, buckets)
-    offered = texts.mapInArrow(_offer(window, parts), "part int, owners binary, runs binary, tokens binary, more binary")
-    hits = cut(offered.groupBy("part").applyInPandas(_hits(buckets), HITS))
-    del offered
-    release(spark)
-    n_hits = hits.agg(F.sum(F.octet_length("keys").cast("long"))).first()[0] or 0
+    parts = part_count(size // WORD_BYTES)
+    asked = texts.select("k", "body").mapInArrow(_offer(window, parts), OFFER)
+    found = asked.groupBy("part").applyInPandas(_hits, ANSWER).groupBy("batch").applyInPandas(_by_document("keys"), "k long, base long, keys binary")
+    hits = cut(_whole(found, "keys"))
+    n_hits = hits.agg(F.sum(F.aggregate("keys", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x)))).first()[0] or 0
     window_parts = part_count(2 * n_hits // 4)
-    placed = docs.select(bucket.alias("bucket"), order.alias("id"), F.col(text).alias("body"))
-    near = placed.groupBy("bucket").cogroup(hits.groupBy("bucket")).applyInArrow(_windows(window, parts, window_parts), "part int, owners binary, runs binary, hashes binary, positions binary, checks binary")
-    later = cut(near.groupBy("part").applyInPandas(_later(buckets), LATER))
-    del hits, near
-    release(spark)
-    added = "n_words long, n_removed long, repeats array<struct<first_word: long, end_word: long>>, kept_text string"
-    marked = docs.select(*passing.inner, text, order.alias("_order"), bucket.alias("_bucket"))
-    return passing.restored(marked.groupBy("_bucket").cogroup(later.groupBy("bucket")).applyInArrow(_strip(window, text, passing.inner), passing.schema() + added))
+    near = _only(texts, hits).join(hits, "k").mapInArrow(_windows(window, parts, window_parts), "part int, batch long, base long, owners binary, ids binary, runs binary, hashes binary, positions binary")
+    found = near.groupBy("part").applyInPandas(_later, "batch long, base long, owners binary, runs binary, positions binary")
+    later = cut(_whole(found.groupBy("batch").applyInPandas(_by_document("positions"), "k long, base long, positions binary"), "positions"))
+    added = passing.schema() + "n_words long, n_removed long, repeats array<struct<first_word: long, end_word: long>>, kept_text string"
+    strip, rows = _strip(window, body, passing.inner), docs.select("_k", *passing.inner, body)
+    changed = later.select(F.col("k").alias("_k"), "positions")
+    if later.count() > BROADCAST_ROWS:
+        return passing.restored(rows.join(changed, "_k", "left").drop("_k").mapInArrow(strip, added))
+    names = F.broadcast(changed.select("_k"))
+    touched = rows.join(names, "_k", "left_semi").join(changed, "_k").drop("_k").mapInArrow(strip, added)
+    return passing.restored(rows.join(names, "_k", "left_anti").drop("_k").mapInArrow(strip, added).unionByName(touched))
+
+
+def _only(texts: DataFrame, named: DataFrame) -> DataFrame:
+    """The rows of texts whose k occurs in named, taken out before a shuffle where the hashes are few enough to be broadcast."""
+    return texts if named.count() > BROADCAST_ROWS else texts.join(F.broadcast(named.select("k")), "k", "left_semi")

@@ -8,6 +8,7 @@ memory follows the block and not the length of a text.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -185,3 +186,55 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK) -> Iterator[p
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, side="right")) - 1)
         yield batch.slice(i, j - i)
         i = j
+
+
+@dataclass
+class Piece:
+    """Some whole texts, or a part of a long one, with its words. base: how many words of the text lie before it."""
+
+    begin: int
+    end: int
+    data: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    first: np.ndarray
+    base: int
+    last: bool
+
+
+def pieces(words: Words, column: pa.Array, overlap: int = 0, limit: int = CHUNK) -> Iterator[Piece]:
+    """The texts of a column in pieces of about limit bytes.
+
+    A longer text is cut between words; each of its pieces begins with the last
+    overlap words of the one before, so runs of overlap + 1 words lie in one
+    piece each. Memory follows the limit, or the longest run of that many words.
+    """
+    data, offsets = text_buffer(column)
+    i, n = 0, len(offsets) - 1
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, side="right")) - 1)
+        a, end = int(offsets[i]), int(offsets[j])
+        if end - a <= limit:
+            part = data[a:end]
+            yield Piece(i, j, part, *words.split(part, offsets[i : j + 1] - a), 0, True)
+            i = j
+            continue
+        base, room = 0, limit
+        while True:
+            b = min(end, a + room)
+            while b < end:  # to the end of the word
+                gap = np.flatnonzero(words.mask[data[b : b + 4096]] == 0)
+                b = min(end, b + (int(gap[0]) if len(gap) else 4096))
+                if len(gap):
+                    break
+            part = data[a:b]
+            starts, ends, first = words.split(part, np.array([0, b - a]))
+            if b < end and len(starts) <= overlap:
+                room *= 2
+                continue
+            yield Piece(i, j, part, starts, ends, first, base, b == end)
+            if b == end:
+                break
+            keep = len(starts) - overlap
+            a, base, room = (a + int(starts[keep]) if overlap else b), base + keep, limit
+        i = j

@@ -9,6 +9,7 @@ import pytest
 from lithospark.llm import textkernel as tk
 from lithospark.llm.decontaminate import decontaminate, merged
 from lithospark.llm.substring_dedup import substring_dedup
+from lithospark.llm.textkernel import pieces, space_words
 from lithospark.llm.token_counts import count_huge, token_counts
 from tests.llm import brute
 
@@ -128,3 +129,48 @@ def test_kernel_blocks(monkeypatch):
     whole = words.hashes(data, starts, ends)
     monkeypatch.setattr(tk, "BLOCK", 64)
     assert (words.hashes(data, starts, ends) == whole).all() and list(np.diff(first)) == [1002, 0, 1002]
+
+
+def test_pieces_cover_every_run_once():
+    rng = random.Random(4)
+    texts = ["", "a b", " ".join("w" * rng.randint(1, 30) for _ in range(400)), "x" * 700, None, "  y  ", " ".join(["z" * 300] * 9) + " ", " " * 900]
+    column, words = pa.array(texts, pa.string()), space_words(fold=False)
+    for overlap in (0, 3, 19):
+        for limit in (64, 200, 5000):
+            seen = {t: [] for t in range(len(texts))}
+            for piece in pieces(words, column, overlap, limit):
+                for t in range(piece.begin, piece.end):
+                    a, b = piece.first[t - piece.begin : t - piece.begin + 2]
+                    own = [bytes(piece.data[x:y]).decode() for x, y in zip(piece.starts[a:b], piece.ends[a:b], strict=True)]
+                    seen[t] += [(piece.base + k, tuple(own[k : k + overlap + 1])) for k in range(len(own) - overlap)]
+            for t, text in enumerate(texts):
+                own = (text or "").split()
+                assert seen[t] == [(k, tuple(own[k : k + overlap + 1])) for k in range(len(own) - overlap)]
+
+
+def test_substring_dedup_of_long_texts(spark):
+    rng = random.Random(6)
+    word = lambda: f"{rng.randrange(10**9):09d}" * 8
+    passage = [word() for _ in range(70)]
+    long = [word() for _ in range(130_000)]  # some 9 MB, three pieces
+    for at in (5, 40_000, 57_460, 90_000, 129_900):
+        long[at : at + 70] = passage
+    rows = [(1, " ".join(passage[:45])), (2, " ".join(long)), (3, " ".join(passage)), (4, "  ".join(long[57_000:60_000]))]
+    got = {r.doc_id: r for r in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute.substring(rows)
+    assert {i: (r.n_words, r.n_removed, r.kept_text) for i, r in got.items()} == want
+    for i, text in rows:
+        spans = [(s.first_word, s.end_word) for s in got[i].repeats]
+        assert sum(b - a for a, b in spans) == want[i][1] and all(y < a for (_, y), (a, _) in zip(spans, spans[1:]))
+        gone = {k for a, b in spans for k in range(a, b)}
+        assert " ".join(w for k, w in enumerate(text.split()) if k not in gone) == want[i][2]
+
+
+def test_substring_dedup_of_repeated_rows_and_keys(spark):
+    text = " ".join(f"w{k}" for k in range(50))
+    rows = [(7, text)] * 40 + [(None, text + " end")] * 40 + [(7, "other " + text)] * 3 + [(8, text)]
+    got = {}
+    for r in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(9)).collect():
+        got.setdefault((r.doc_id, r.n_words), set()).add(r.kept_text)
+    assert got[8, 50] == {""} and got[None, 51] == {"end"}
+    assert sorted([got[7, 50], got[7, 51]], key=repr) in ([{text}, {"other"}], [{""}, {"other " + text}])
