@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import shutil
 import tempfile
-import time
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,25 +56,24 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared folder and drop its lineage, so a lost executor loses nothing."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+#: Shuffle files of a query go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def release(spark: SparkSession) -> None:
-    """Let the cleaner drop shuffle files of frames that are out of scope, before more are written.
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise df in the shared folder and drop its lineage, so a lost executor loses nothing.
 
-    The cleaner works when the driver's JVM collects garbage, which it may not
-    do for long; callers delete their own references first. Idle
-    threads of the scheduler and the listeners hold on to what they did last,
-    hence the small jobs.
+    What was shuffled for it is not needed any more and is removed with it.
     """
-    gc.collect()
-    for _ in range(2):
-        spark.range(0, 64, 1, 16).count()
-        time.sleep(1.0)
-        spark.sparkContext._jvm.System.gc()
-    time.sleep(0.5)
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # a plan of its own, made under the setting
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
