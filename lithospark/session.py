@@ -77,3 +77,10 @@ def cut(df: DataFrame) -> DataFrame:
             spark.conf.unset(CLEANUP)
         else:
             spark.conf.set(CLEANUP, before)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared store, wherever that is."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
