@@ -54,11 +54,11 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Whole class or id tokens; a part of one may tell of the page (has-sidebar), or of what an article is about (tag-europe).
 NAMES = re.compile(
     r"(?:ads?|adverts?|advertisements?|advertising|banners?|breadcrumbs?|comments?|(?:reader|user)-?comments?|comments?-?(?:area|body|list|section|thread)|consent|cookies?|cookie-(?:banner|consent|notice)|"
-    r"disqus(?:_thread)?|footers?|gdpr|login|menus?|modal|nav(?:s|bar|igation)?|newsletter|notices?|paywall|popups?|promos?|repl(?:y|ies)|respond|sidebars?|sponsors?|sponsored|subscri(?:be|ptions?)|toolbar|topbar|widgets?)",
+    r"disqus(?:_thread)?|footers?|gdpr|login|menus?|modal|nav(?:s|bar|igation)?|newsletter|notices?|paywall|popups?|promos?|recommend(?:ed|ations?)|related|repl(?:y|ies)|respond|sidebars?|sponsors?|sponsored|subscri(?:be|ptions?)|toolbar|topbar|widgets?)",
     re.I,
 )
 #: Tokens that say something of short blocks only.
-HINTS = re.compile(r"(?:discussion|promotions?|recommend(?:ed|ations?)|related|search|shar(?:e|ing)|social|tags?)", re.I)
+HINTS = re.compile(r"(?:discussion|promotions?|search|shar(?:e|ing)|social|tags?)", re.I)
 #: These do so outside of an article; inside, its title may stand there.
 TOPS = re.compile(r"head(?:er)?", re.I)
 ROLES = frozenset("banner complementary contentinfo dialog form navigation search alert".split())

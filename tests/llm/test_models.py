@@ -214,7 +214,7 @@ def test_html_against_a_plain_version():
 
 def test_html_names_never_empty_an_article():
     nav = '<nav><a href="/">Home</a></nav>'
-    for name in ("football-report", "navy-news", "post head", "related-work", "share-price", "social-policy", "recommended-reading", "header-image-article", "discussion", "related", "search"):
+    for name in ("football-report", "navy-news", "post head", "related-work", "share-price", "social-policy", "recommended-reading", "header-image-article", "discussion", "search", "tags"):
         assert main_text(f'{nav}<article><div class="{name}"><p>{RAIN}</p><p>{RAIN}</p></div></article>') == f"{RAIN} {RAIN}"
     assert main_text(f'<article class="post-12 post type-post tag-python"><p>{RAIN}</p></article>') == RAIN
     assert main_text(f'<article id="discussion-of-rivers"><p>{RAIN}</p></article>') == RAIN
