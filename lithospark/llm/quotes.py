@@ -42,15 +42,17 @@ def normalised(text: str) -> str:
 def parse(text: str) -> tuple[str, list[tuple[int, int, int]]]:
     """The own words of a message, and (level, hash, words) of its passages and their lines."""
     lines = levels(text)
-    own = []
-    for k, (level, line) in enumerate(lines):
-        if level or not line.strip():
-            if not level:
-                own.append("")
-            continue
-        after = next((x for x in lines[k + 1 :] if x[0] or x[1].strip()), None)
-        if not (after and after[0] and ATTRIBUTION.match(line)):
-            own.append(line.rstrip())
+    own, quoted_after = [], False  # whether the next line that is not blank is quoted
+    for level, line in reversed(lines):
+        if level:
+            quoted_after = True
+        elif not line.strip():
+            own.append("")
+        else:
+            if not (quoted_after and ATTRIBUTION.match(line)):
+                own.append(line.rstrip())
+            quoted_after = False
+    own.reverse()
     found: dict[tuple[int, int], int] = {}
 
     def put(level: int, block: list[str]) -> None:
