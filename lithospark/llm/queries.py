@@ -33,8 +33,8 @@ def op1_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def held_out(key: str = "doc_id") -> Column:
-    """The fold that no model learns from."""
-    return F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0
+    """The fold that no model learns from; a null key belongs to none."""
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
