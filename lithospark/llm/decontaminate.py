@@ -15,15 +15,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lithospark.llm.columns import Passing
 from lithospark.llm.textkernel import U64, alnum_words, lower_ascii, mix64, slices, stream, text_buffer
+from lithospark.session import cut
 
 LANE = 64
 BLOCK = 2
 TABLE_BITS = 20
 #: Bytes of benchmark text that one pass over the documents looks for.
-PASS_BYTES = 8 << 20
+PASS_BYTES = 1 << 20
 
 
 class Patterns:
@@ -129,39 +131,60 @@ def search(patterns: Patterns, data: np.ndarray, offsets: np.ndarray) -> tuple[n
     return first, np.cumsum(hit[:-1]) > 0, items
 
 
-def _pass(patterns, text: str, carried: bool):
+SPANS = pa.list_(pa.struct([("first_word", pa.int64()), ("end_word", pa.int64())]))
+
+
+def _found(patterns: Patterns, column: pa.Array) -> tuple[np.ndarray, list[list[dict]], list[list[str]]]:
+    """For each text its number of words, its runs of hit words, and the ids of the items."""
+    first, hit, items = search(patterns, *text_buffer(column))
+    n = len(column)
+    by_text: list[set[str]] = [set() for _ in range(n)]
+    for t, (_, item) in zip((np.searchsorted(first, [i for i, _ in items], "right") - 1).tolist(), items, strict=True):
+        if patterns.ids[item] is not None:
+            by_text[t].add(patterns.ids[item])
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
+    spans: list[list[dict]] = [[] for _ in range(n)]
+    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+        t = int(np.searchsorted(first, a, "right")) - 1
+        while a < b:  # hits of neighbouring texts touch here
+            c = min(b, int(first[t + 1]))
+            if c > a:
+                spans[t].append({"first_word": a - int(first[t]), "end_word": c - int(first[t])})
+            a, t = c, t + 1
+    return np.diff(first), spans, [sorted(x) for x in by_text]
+
+
+def _hits(patterns, passes: int):
+    """(text, pass, spans, items) of the texts that hold patterns of this pass."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = patterns.value
+        for whole in batches:
+            for batch in slices(whole, "body"):
+                _, spans, items = _found(patterns.value, batch.column("body"))
+                some = [t for t, x in enumerate(spans) if x]
+                columns = [batch.column("k").take(pa.array(some, pa.int64())), pa.array([passes] * len(some), pa.int32()), pa.array([spans[t] for t in some], SPANS), pa.array([items[t] for t in some], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, ["k", "pass", "spans", "items"])
+
+    return run
+
+
+def _added(patterns, text: str, others: list[str]):
+    """Rows with what was found in them: by patterns, or by earlier passes (told)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = alnum_words(fold=True)
         for whole in batches:
             for batch in slices(whole, text):
-                data, offsets = text_buffer(batch.column(text))
-                first, hit, items = search(p, data, offsets)
-                n = batch.num_rows
-                owner = np.searchsorted(first, [i for i, _ in items], "right") - 1
-                by_text: list[set[str]] = [set() for _ in range(n)]
-                for t, (_, item) in zip(owner.tolist(), items, strict=True):
-                    if p.ids[item] is not None:
-                        by_text[t].add(p.ids[item])
-                # Runs of hit words, counted from the text's first word.
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
-                spans: list[list[dict]] = [[] for _ in range(n)]
-                for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-                    t = int(np.searchsorted(first, a, "right")) - 1
-                    while a < b:
-                        c = min(b, int(first[t + 1]))
-                        if c > a:
-                            spans[t].append({"first_word": a - int(first[t]), "end_word": c - int(first[t])})
-                        a, t = c, t + 1
-                if carried:
-                    for t, (old, named) in enumerate(zip(batch.column("hit_spans").to_pylist(), batch.column("items").to_pylist(), strict=True)):
-                        spans[t] = merged(old + spans[t])
-                        by_text[t] |= set(named)
-                columns = {c: batch.column(c) for c in batch.schema.names}
-                columns["n_words"] = pa.array(np.diff(first), pa.int64())
-                columns["n_hit"] = pa.array([sum(s["end_word"] - s["first_word"] for s in x) for x in spans], pa.int64())
-                columns["hit_spans"] = pa.array(spans, pa.list_(pa.struct([("first_word", pa.int64()), ("end_word", pa.int64())])))
-                columns["items"] = pa.array([sorted(x) for x in by_text], pa.list_(pa.string()))
-                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+                if patterns is not None:
+                    count, spans, items = _found(patterns.value, batch.column(text))
+                else:
+                    count = np.diff(words.split(*text_buffer(batch.column(text)))[2])
+                    told = [x or [] for x in batch.column("told").to_pylist()]
+                    spans = [merged([s for x in t for s in x["spans"]]) for t in told]
+                    items = [sorted({i for x in t for i in x["items"]}) for t in told]
+                hits = [sum(s["end_word"] - s["first_word"] for s in x) for x in spans]
+                columns = [*(batch.column(c) for c in others), pa.array(count, pa.int64()), pa.array(hits, pa.int64()), pa.array(spans, SPANS), pa.array(items, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, [*others, "n_words", "n_hit", "hit_spans", "items"])
 
     return run
 
@@ -176,7 +199,8 @@ def merged(spans: list[dict]) -> list[dict]:
     return out
 
 
-ADDED = "n_words long, n_hit long, hit_spans array<struct<first_word: long, end_word: long>>, items array<string>"
+SPAN_LIST = "array<struct<first_word: long, end_word: long>>"
+ADDED = f"n_words long, n_hit long, hit_spans {SPAN_LIST}, items array<string>"
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 13) -> DataFrame:
@@ -184,27 +208,49 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
 
     Null texts have no words. Items with a null id mark words but are not
     named; items without words match nothing; repeated items count once.
-    Benchmark text goes to the tasks in blocks of PASS_BYTES, each in a pass of
-    its own over the documents, so a large benchmark costs passes, not memory.
-    An empty benchmark or an empty table give zeros or no rows. Columns of docs
-    that are named like the added ones are replaced.
+    Benchmark text goes to the tasks in blocks of PASS_BYTES (or one item). One
+    block is searched for in passing. Of a larger benchmark each block has a pass
+    of its own over the documents, which ends, with its patterns, before the next
+    begins, and keeps what it found of each different text; so a large benchmark
+    costs passes, not memory. An empty benchmark or an empty table give zeros or
+    no rows. Columns of docs that are named like the added ones are replaced.
     """
-    spark = docs.sparkSession
+    context = docs.sparkSession.sparkContext
     passing = Passing(docs, ["n_words", "n_hit", "hit_spans", "items"])
     body = passing[text]
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in passing.df.schema.fields) + ADDED
-    out, ids, texts, size, passes = passing.df, [], [], 0, 0
+    others = passing.inner
+    schema = passing.schema() + ADDED
+    rows = passing.df.select(*others) if body in others else passing.df.select(*others, body)
+    texts = passing.df.select(F.xxhash64(body, F.octet_length(body)).alias("k"), F.col(body).alias("body"))
+    blocks = _blocks(benchmark.selectExpr(f"cast(`{item}` as string) as id", f"coalesce(`{item_text}`, '') as body"))
+    ids, bodies = next(blocks)
+    following = next(blocks, None)
+    if following is None:
+        return passing.restored(rows.mapInArrow(_added(context.broadcast(Patterns(ids, bodies, window)), body, others), schema))
+    found, passes = None, 0
+    while True:
+        shared = context.broadcast(Patterns(ids, bodies, window))
+        hits = cut(texts.mapInArrow(_hits(shared, passes), f"k long, pass int, spans {SPAN_LIST}, items array<string>").groupBy("k", "pass").agg(F.first("spans").alias("spans"), F.first("items").alias("items")))
+        shared.destroy()
+        found = hits if found is None else found.unionByName(hits)
+        if following is None:
+            break
+        (ids, bodies), following, passes = following, next(blocks, None), passes + 1
+    told = found.groupBy("k").agg(F.collect_list(F.struct("spans", "items")).alias("told"))  # one for each pass at most
+    keyed = rows.withColumn("k", F.xxhash64(body, F.octet_length(body))).join(told, "k", "left").drop("k")
+    return passing.restored(keyed.mapInArrow(_added(None, body, others), schema))
 
-    def add(out: DataFrame) -> DataFrame:
-        shared = spark.sparkContext.broadcast(Patterns(ids, texts, window))
-        return out.mapInArrow(_pass(shared, body, passes > 0), schema)
 
-    rows = benchmark.selectExpr(f"cast(`{item}` as string) as id", f"coalesce(`{item_text}`, '') as body")
+def _blocks(rows: DataFrame) -> Iterator[tuple[list[str | None], list[str]]]:
+    """Ids and texts of the benchmark, PASS_BYTES at a time; at least one block, which may be empty."""
+    ids: list[str | None] = []
+    texts: list[str] = []
+    size = 0
     for row in rows.toLocalIterator():
         if ids and size + len(row.body) > PASS_BYTES:
-            out = add(out)
-            ids, texts, size, passes = [], [], 0, passes + 1
+            yield ids, texts
+            ids, texts, size = [], [], 0
         ids.append(row.id)
         texts.append(row.body)
         size += len(row.body)
-    return passing.restored(add(out) if ids or not passes else out)
+    yield ids, texts
