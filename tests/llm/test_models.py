@@ -64,13 +64,15 @@ def exact(x, ids, query, k):
     return [(int(ids[j]), float(score[j])) for j in order[:k]]
 
 
-@pytest.mark.parametrize("norms", ["unit", "mixed"])
+@pytest.mark.parametrize("norms", ["unit", "mixed", "outlier"])
 def test_nearest_recall(spark, norms):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(30, 16))
     x = (centres[rng.integers(0, 30, 3000)] + 0.5 * rng.normal(size=(3000, 16))).astype(np.float32)
     if norms == "unit":
         x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if norms == "outlier":
+        x[7] *= 3000
     x[100:160] = x[100]  # a hot vector
     rows = [(k, v.tolist()) for k, v in enumerate(x)]
     bad = [(5000, None), (5001, [0.0] * 16), (5002, [float("nan")] * 16), (5003, [None] + [1.0] * 15), (5004, [float("inf")] * 16), (5005, [1.0]), (None, x[0].tolist()), (5020, [])]
@@ -86,12 +88,29 @@ def test_nearest_recall(spark, norms):
         hit += len(set(part.vec_id) & {i for i, _ in best})
         assert np.allclose(part.score, x[part.vec_id.to_numpy()] @ x[q], rtol=0, atol=1e-12)
     assert hit / (150 * 20) >= 0.95
-    if norms == "mixed":
+    if norms != "unit":
         return
     hot = got[got.query_id == 100].sort_values("rank")
     assert list(hot.vec_id) == [*range(101, 121)]  # ties go to the lesser id
 
 
+def test_nearest_in_some_of_many_cells(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(60, 24))
+    x = (centres[rng.integers(0, 60, 4000)] + 0.6 * rng.normal(size=(4000, 24))).astype(np.float32)
+    x[1000:2400] = x[1000]  # a third of the rows are one vector
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)] + [(9000 + 20 * k, [1.0, float(k)]) for k in range(6)], "vec_id long, embedding array<float>")
+    a, b = (vamana.nearest(df.repartition(n), F.col("vec_id") % 20 == 0, shard_rows=60).toPandas().sort_values(["query_id", "rank"]).reset_index(drop=True) for n in (2, 7))
+    assert a.equals(b)  # whatever the partitions are
+    x, ids, hit = x.astype(float), np.arange(4000), 0
+    for q in range(0, 4000, 20):
+        hit += len(set(a.vec_id[a.query_id == q]) & {i for i, _ in exact(x, ids, q, 20)})
+    assert hit / (200 * 20) >= 0.95
+    # The other length is searched for itself.
+    assert a[a.query_id == 9000].vec_id.tolist() == [9020, 9040, 9060, 9080, 9100]  # all alike: by id
+    assert a[a.query_id == 9020].vec_id.tolist() == [9100, 9080, 9060, 9040, 9000]
+
+
 def test_nearest_few_rows(spark):
     schema = "vec_id long, embedding array<float>, score double, shard int"
     df = spark.createDataFrame([(20, [1.0, 0.0], 1.0, 1), (21, [0.5, 0.5], 1.0, 1), (22, [0.0, 2.0], 1.0, 1)], schema)
