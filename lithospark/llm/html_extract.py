@@ -16,9 +16,10 @@ the others only reject short blocks.
 
 from __future__ import annotations
 
+import functools
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -240,8 +241,8 @@ def latin(text: str) -> bool:
     return 2 * sum(c < "\u0250" or "\u1e00" <= c < "\u1f00" for c in letters) >= len(letters)
 
 
-def label(text: str, links: int, bad: bool, short: bool, article: int, own: set[str]) -> bool | None:
-    """True for text, False for what surrounds it, None where a block alone can't tell. own: common_words() of the page."""
+def label(text: str, links: int, bad: bool, short: bool, article: int, own: Callable[[], set[str]]) -> bool | None:
+    """True for text, False for what surrounds it, None where a block alone can't tell. own gives common_words() of the page."""
     if bad:
         return False
     n = len(text)
@@ -251,13 +252,15 @@ def label(text: str, links: int, bad: bool, short: bool, article: int, own: set[
     if n < LONG:
         return False if short else None
     words = text.lower().split()
-    density = sum(w.strip(".,;:!?\"'()") in STOP_WORDS or w in own for w in words) / len(words)
-    return True if density >= STOP_DENSITY or not latin(text) else None
+    listed = [w.strip(".,;:!?\"'()") in STOP_WORDS for w in words]
+    if sum(listed) >= STOP_DENSITY * len(words):
+        return True
+    common = own()
+    return True if sum(x or w in common for x, w in zip(listed, words, strict=True)) >= STOP_DENSITY * len(words) or not latin(text) else None
 
 
-def labelled(blocks: list[tuple[str, int, bool, bool, int]], own: set[str]) -> list[bool]:
-    """The two passes over (text, characters in links, bad, bad if short, article) blocks."""
-    labels = [label(*b, own) for b in blocks]
+def labelled(blocks: list[tuple[str, int, bool, bool, int]], labels: list[bool | None]) -> list[bool]:
+    """The second pass over (text, characters in links, bad, bad if short, article) blocks with labels."""
     inside = any(b[4] and not b[2] for b in blocks)
     good = any(labels)
     if not good and not inside:
@@ -295,13 +298,16 @@ def labelled(blocks: list[tuple[str, int, bool, bool, int]], own: set[str]) -> l
 def main_text(page: str) -> str:
     """The blocks of the article, in page order, joined by one space."""
     blocks = blocks_of(page)
-    own = common_words(blocks)
+    own = functools.cache(lambda: common_words(blocks))
     by_name = [(text, links, bad or named, short, article) for text, links, bad, named, short, article in blocks]
-    if not any(b[4] and not b[2] or label(*b, own) for b in by_name):
+    labels = [label(*b, own) for b in by_name]
+    if not any(labels) and not any(b[4] and not b[2] for b in by_name):
         # No article and no text is left: where there is some without them, the names mislead.
         bare = [(text, links, bad, False, article) for text, links, bad, _, _, article in blocks]
-        by_name = bare if any(label(*b, own) for b in bare) else by_name
-    return " ".join(b[0] for b, text in zip(by_name, labelled(by_name, own), strict=True) if text)
+        found = [label(*b, own) for b in bare]
+        if any(found):
+            by_name, labels = bare, found
+    return " ".join(b[0] for b, text in zip(by_name, labelled(by_name, labels), strict=True) if text)
 
 
 def _extract(column: str):
