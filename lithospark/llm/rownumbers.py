@@ -3,20 +3,23 @@
 Rows are ordered by a 64-bit hash of their content. Equal rows are counted
 first, in runs of RUN copies, and spread again after numbering, so a row that
 makes up a third of a table moves as a handful of counts. The hash's top bits
-cut a group into ranges; their sizes, added up, give each range its start.
+cut a group into ranges of some thousand rows; their sizes, added up, give each
+range its start.
 DataFrame functions only.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lithospark.session import cut
 
 RUN = 1000
-#: The starts of ranges are broadcast: at most 2^RANGE_BITS rows for each group.
-RANGE_BITS = 14
+#: The starts of ranges are broadcast: at most 2^RANGE_BITS rows for each group, and no more ranges than give each RANGE_ROWS.
+RANGE_BITS, RANGE_ROWS = 14, 4096
 
 
 def numbered(df: DataFrame, within: list[str] | None = None, run: int = RUN) -> tuple[DataFrame, dict[tuple, int]]:
@@ -31,11 +34,12 @@ def numbered(df: DataFrame, within: list[str] | None = None, run: int = RUN) ->
     runs = (
         counted.select("*", F.explode(F.sequence(F.lit(0), last)).alias("_run"))
         .withColumn("_size", F.least(F.lit(run).cast("long"), F.col("_copies") - F.col("_run").cast("long") * F.lit(run).cast("long")))
-        .withColumn("_hash", F.xxhash64(*columns, F.col("_run")))
-        .withColumn("_range", F.shiftrightunsigned("_hash", 64 - RANGE_BITS).cast("int"))
+        .withColumn("_hash", F.xxhash64(*columns, F.col("_run")).bitwiseXOR(F.lit(-(2**63))))  # signed order is the unsigned one of the hash
         .drop("_copies")
     )
     runs = cut(runs)  # counted once; what follows reads the counts again
+    bits = min(RANGE_BITS, max(0, math.ceil(math.log2(max(1, runs.count()) / RANGE_ROWS))))
+    runs = runs.withColumn("_range", (F.shiftright("_hash", 64 - bits) if bits else F.lit(0)).cast("int"))
     sizes = runs.groupBy(*groups, "_range").agg(F.sum("_size").alias("_total"))
     earlier = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(*(F.col(g).alias(f"_g{k}") for k, g in enumerate(groups)), F.col("_range").alias("_r"), F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_start"))
