@@ -3,7 +3,7 @@
 Rows are ordered by a 64-bit hash of their content. Equal rows are counted
 first, in runs of RUN copies, and spread again after numbering, so a row that
 makes up a third of a table moves as a handful of counts. The hash's top bits
-cut a group into ranges of some thousand rows; their sizes, added up, give each
+cut a group into ranges of about a thousand rows; their sizes, added up, give each
 range its start.
 DataFrame functions only.
 """
@@ -19,7 +19,7 @@ from lithospark.session import cut
 
 RUN = 1000
 #: The starts of ranges are broadcast: at most 2^RANGE_BITS rows for each group, and no more ranges than give each RANGE_ROWS.
-RANGE_BITS, RANGE_ROWS = 14, 4096
+RANGE_BITS, RANGE_ROWS = 14, 1024
 
 
 def numbered(df: DataFrame, within: list[str] | None = None, run: int = RUN) -> tuple[DataFrame, dict[tuple, int]]:
