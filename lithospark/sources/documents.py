@@ -65,12 +65,15 @@ def manifest_pieces(parsed: DataFrame) -> DataFrame:
     return parsed.select("file", F.posexplode("manifest.pieces").alias("ordinal", "p")).select("file", "ordinal", "p.*")
 
 
+def relative(path: Column, root: str) -> Column:
+    """A file's path below root, whatever scheme it is listed with."""
+    return F.replace(F.regexp_replace(path, "^[a-z]+:/*", "/"), F.lit("/" + root.split("://", 1)[-1].strip("/") + "/"), F.lit(""))
+
+
 def folder(spark: SparkSession, root: str) -> DataFrame:
     """(path, size, modified) of every file below root, without content. Paths are relative; directories without files show in folder_directories."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "modificationTime")
-    bare = F.regexp_replace("path", "^[a-z]+:/*", "/")
-    prefix = "/" + root.split("://", 1)[-1].strip("/") + "/"
-    return files.select(F.replace(bare, F.lit(prefix), F.lit("")).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    return files.select(relative(F.col("path"), root).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
 def folder_directories(spark: SparkSession, root: str) -> DataFrame:
