@@ -1,6 +1,7 @@
 """Commands over packages: python -m lithospark.cli COMMAND PATH ...
 
-Each prints a relation or a report; nothing is changed except by extract.
+Each prints a relation or a report, whole unless --limit is given. Only what is
+named by --output is written.
 """
 
 from __future__ import annotations
@@ -10,11 +11,15 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithospark.operators import classify, joins, ordering, rules
+from lithospark.constants import BLOCK
+from lithospark.functions import blocks as blk
+from lithospark.functions import paths
+from lithospark.operators import aggregate, classify, joins, ordering, overlay, rules, windows
+from lithospark.plans import image
 from lithospark.plans import workflows as w
-from lithospark.plans.options import entry_argument
+from lithospark.plans.options import assignments, entry_argument
 from lithospark.session import local_session
-from lithospark.sources import layouts, sinks
+from lithospark.sources import documents, layouts, sinks
 
 
 def _list(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
@@ -91,10 +96,118 @@ def _extract(spark, a):
 
 
 def _profile(spark, a):
-    blocks = w.load(spark, "container_blocks", a.path).drop("content")
-    from lithospark.operators.aggregate import image_stats
+    """Policies of a container's files, or with --ref how they differ from a profile's."""
+    load = lambda r: w.load(spark, r, a.path)
+    if a.stats:
+        return aggregate.image_stats(windows.stored_sizes(load("container_table")), a.block, ["file"])
+    policies = w.image_policies(w.image_listing(load("dirents"), load("inodes"), a.root), load("inodes"), load("container_table"), a.block)
+    if a.output:
+        sinks.extract(sinks.profile_json(policies).select(F.lit(_name(a.output)).alias("path"), F.encode("json", "utf-8").alias("data")), _folder(a.output), False).collect()
+    if not a.ref:
+        return policies.orderBy("path")
+    text = spark.read.text(a.ref, wholetext=True).select(F.lit("reference").alias("file"), F.col("value").alias("json"))
+    report = w.profile_report(policies, documents.profile_policies(text))
+    return report["mismatches"] if a.mismatches else report["counts"]
+
+
+def _name(path: str) -> str:
+    return path.rsplit("/", 1)[-1]
+
+
+def _folder(path: str) -> str:
+    return path.rsplit("/", 1)[0] if "/" in path else "."
+
+
+def _dump(spark, root: str) -> DataFrame:
+    """(area, path, size) of a folder dump."""
+    return documents.folder(spark, root).select(F.substring_index("path", "/", 1).alias("area"), F.expr("substr(path, instr(path, '/') + 1)").alias("path"), "size")
+
+
+def _restructure(spark, a):
+    return w.restructure_plan(_dump(spark, a.path).select("area", "path"), a.for_packager).orderBy("target")
+
+
+def _repack(spark, a):
+    return w.repack_plan(_dump(spark, a.path))[a.show]
+
+
+def _identity(spark, root: str, side: str) -> DataFrame:
+    """The type and title id that a dump's metadata file tells."""
+    files = documents.folder(spark, root).where(F.lower("path").isin("sc0/param.sfo", "image0/sce_sys/param.sfo")).orderBy("path").limit(1).select("path").collect()
+    values = w.load(spark, "sfo", f"{root}/{files[0].path}") if files else w.load(spark, "sfo", root, suffix="no such file")
+    found = classify.sfo_lookup(values, ["CATEGORY", "TITLE_ID", "CONTENT_ID", "TITLE"])
+    kind = classify.package_type(F.col("CATEGORY"), F.lit(0), F.col("CONTENT_ID"), F.col("TITLE"))
+    return found.select(kind.alias(f"{side}_type"), F.col("TITLE_ID").alias(f"{side}_title_id"), F.lit(1).alias("pair"))
+
+
+def _merge(spark, a):
+    """The plan of a merge; problems of the request or of the pair come first."""
+    asked = classify.request_problems({"base": a.path, "update": a.update, "output": a.target, "workers": a.workers})
+    if asked:
+        return spark.createDataFrame([(p,) for p in asked], "problem string")
+    pair = spark.createDataFrame([(1,)], "pair int").join(_identity(spark, a.path, "base"), "pair", "left").join(_identity(spark, a.update, "update"), "pair", "left")
+    plan = w.merge_plan(pair, _dump(spark, a.path), _dump(spark, a.update))
+    problems = plan["problems"].select("problem")
+    return problems if not problems.isEmpty() else plan[a.show]
+
+
+def _gp4gen(spark, a):
+    """The project of a folder of game files, as a relation; --output writes the document."""
+    plan = w.project_plan(documents.folder(spark, a.path).select("path", "size"), documents.folder_directories(spark, a.path))
+    if a.output:
+        rows = plan.select("path", "compression", "is_directory").toLocalIterator()  # one document
+        files, empty = [], []
+        for r in rows:
+            empty.append(r.path) if r.is_directory else files.append((r.path, r.path, r.compression))
+        text = sinks.project_xml(dict(assignments(a.values)), files, empty)
+        one = spark.createDataFrame([(_name(a.output), bytearray(text.encode()))], "path string, data binary")
+        sinks.extract(one, _folder(a.output), False).collect()
+    return plan
+
+
+def _build(spark, a):
+    """Writes the plaintext image of a folder, and with --container its compressed container; what else a build holds is a plan."""
+    files = documents.folder(spark, a.path).select("path", "size")
+    layout = image.image_layout(files, documents.folder_directories(spark, a.path))
+    done = image.write_image(layout, image.folder_contents(spark, a.path), a.output).collect()
+    container = None
+    if a.container:
+        content = image.image_pieces(layout, image.folder_contents(spark, a.path))
+        size, name = done[0].bytes, _name(a.container)
+        blocks = image.whole_blocks(content, size // BLOCK).select(F.lit(name).alias("file"), "block_no", "data")
+        container = sinks.write_containers(sinks.container_layout(blk.store_blocks(blocks)), _folder(a.container)).collect()[0].bytes
+    return sinks.build_manifest(files, dict(assignments(a.values)), {"inner_size": done[0].bytes, "container_size": container, "mode": "container" if container else "none"})
+
+
+def _compare(spark, a):
+    """Where two images differ; paths do not matter."""
+    here, there = (lambda r, p=p: w.load(spark, r, p).withColumn("file", F.lit("image")) for p in (a.path, a.other))
+    owners = lambda load: load("image_blocks").groupBy(F.col("block").alias("block_no")).agg(F.min("inode").alias("owner"))
+    inodes = lambda load: load("inodes").select("file", F.col("inode").alias("ordinal"), "raw")
+    found = w.image_diff(here("image_header"), there("image_header"), inodes(here), inodes(there), owners(here), owners(there))
+    return found[a.show]
+
+
+def _path_table(spark, a):
+    return w.path_table(w.load(spark, "image_content", a.path)).select("ordinal", F.format_string("%08X", "hash").alias("hash"), F.format_string("%08X", "slot").alias("slot"), "inode", "flags").orderBy("ordinal")
+
+
+def _sfo_set(spark, a):
+    """A metadata file with values set; a path that names no file gives one with nothing else."""
+    edits = spark.createDataFrame([("sfo", k, v) for k, v in assignments(a.values)], "file string, key string, value string")
+    values = w.load(spark, "sfo", a.path).withColumn("file", F.lit("sfo")) if not a.new else w.load(spark, "sfo", _folder(a.output), suffix="no such file")
+    kept = values.select("file", "key", "format", "max_length", "number", "text")
+    rows = overlay.sfo_upsert(kept, classify.sfo_edits(values, edits))
+    if a.output:
+        sinks.extract(sinks.sfo_files(rows).select(F.lit(_name(a.output)).alias("path"), F.col("content").alias("data")), _folder(a.output), False).collect()
+    return rows.orderBy("key")
+
 
-    return image_stats(blocks, a.block, ["file"])
+def _trophies_create(spark, a):
+    """A trophy archive of the files in a folder."""
+    files = spark.read.format("binaryFile").load(a.path).select(F.lit("archive").alias("file"), paths.basename(F.col("path")).alias("name"), F.col("content").alias("data"))
+    sinks.extract(sinks.trophy_files(files).select(F.lit(_name(a.output)).alias("path"), F.col("content").alias("data")), _folder(a.output), False).collect()
+    return ordering.by_trophy_class(files.select("name", F.octet_length("data").alias("size")))
 
 
 def parser() -> argparse.ArgumentParser:
@@ -104,6 +217,7 @@ def parser() -> argparse.ArgumentParser:
     def add(name: str, run, **options) -> None:
         c = commands.add_parser(name, help=(run.__doc__ or name))
         c.add_argument("path")
+        c.add_argument("--limit", type=int, help="rows to print; all without it")
         for option, settings in options.items():
             c.add_argument("--" + option.replace("_", "-"), **settings)
         c.set_defaults(run=run)
@@ -120,7 +234,17 @@ def parser() -> argparse.ArgumentParser:
     add("sfo", _sfo)
     add("trophies", _trophies)
     add("audio", _audio)
-    add("profile", _profile, block={"type": int, "default": 0x10000})
+    flag = {"action": "store_true"}
+    add("profile", _profile, block={"type": int, "default": 0x10000}, root={"type": int, "default": 2}, ref={}, output={}, stats=flag, mismatches=flag)
+    add("restructure", _restructure, for_packager=flag)
+    add("repack", _repack, show={"default": "project"})
+    add("merge", _merge, update={"required": True}, target={"default": "merged"}, workers={"type": int, "default": 0}, show={"default": "project"})
+    add("gp4gen", _gp4gen, output={}, values={"nargs": "*", "default": []})
+    add("build", _build, output={"required": True}, container={}, values={"nargs": "*", "default": []})
+    add("compare", _compare, other={"required": True}, show={"default": "fields", "choices": ["fields", "words", "first", "blocks"]})
+    add("path-table", _path_table)
+    add("sfo-set", _sfo_set, values={"nargs": "+", "required": True}, output={}, new=flag)
+    add("trophies-create", _trophies_create, output={"required": True})
     add("extract", _extract, output={"required": True}, stop={"action": "store_true"})
     add("relation", _relation, relation={"required": True})
     return out
@@ -129,7 +253,9 @@ def parser() -> argparse.ArgumentParser:
 def main(arguments: list[str] | None = None, spark: SparkSession | None = None) -> DataFrame:
     a = parser().parse_args(arguments)
     result = a.run(spark or local_session(cores="*"), a)
-    result.show(1000, truncate=False)
+    print("\t".join(result.columns))
+    for row in (result if a.limit is None else result.limit(a.limit)).toLocalIterator(prefetchPartitions=True):
+        print("\t".join("" if v is None else v.hex() if isinstance(v, (bytes, bytearray)) else str(v) for v in row))
     return result
 
 

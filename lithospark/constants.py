@@ -98,3 +98,5 @@ DEFLATE_HEADER = b"\x48\x89"
 ADLER_BASE = 65521
 SFO_FORMATS = {0x0204: "utf8", 0x0004: "utf8-special", 0x0404: "int32"}
 SPACE_RESERVE = 256 * 1024 * 1024
+STRUCTURAL_INODES = 3
+SYSTEM_ENTRIES = 13

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lithospark.constants import ADDON_CATEGORIES, CATEGORY_TYPES, CONTENT_TYPES, ENTRY_NAMES, MANAGED_FILES, META_ENTRY_IDS, THEME_PREFIXES, TROPHY_PATTERNS
 from lithospark.functions.paths import unprefixed
-from lithospark.functions.scalars import parse_number
+from lithospark.functions.scalars import align, parse_number
 
 
 def addon_type(content_id: Column, title: Column) -> Column:
@@ -119,6 +119,21 @@ def sfo_edited(kind: Column, old: Column, new: Column) -> Column:
     return F.when((kind == "int32") & parse_number(new).isNotNull(), "int32").otherwise("utf8")
 
 
+def sfo_edits(values: DataFrame, edits: DataFrame) -> DataFrame:
+    """(file, key, format, max_length, number, text) of edits (file, key, value), against the values that are there.
+
+    The first value of the same key, ignoring case, gives the kind and the least
+    room; a new key is text. Text takes its bytes and an end byte, to a multiple
+    of four.
+    """
+    old = values.groupBy("file", F.lower("key").alias("_key")).agg(F.min_by(F.struct("format", "max_length"), "ordinal").alias("old"))
+    new = edits.withColumn("_key", F.lower("key")).join(old, ["file", "_key"], "left")
+    kind = sfo_edited(F.col("old.format"), F.lit(""), F.col("value"))
+    number = F.when(kind == "int32", parse_number(F.col("value"))).cast("int")
+    room = F.when(kind == "int32", F.lit(4)).otherwise(align(F.octet_length("value") + 1, 4))
+    return new.select("file", "key", kind.alias("format"), F.greatest(room, F.coalesce("old.max_length", F.lit(0))).cast("long").alias("max_length"), number.alias("number"), F.when(kind != "int32", F.col("value")).alias("text"))
+
+
 def field_rows(table: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(key, field, value): one row for each field, values as text."""
     return table.select(key, *(F.col(f).cast("string").alias(f) for f in fields)).unpivot(key, fields, "field", "value")

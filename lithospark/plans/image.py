@@ -177,6 +177,25 @@ def write_image(layout: Layout, contents: DataFrame, path: str) -> DataFrame:
     return pieces.mapInPandas(run, "path string, bytes long")
 
 
+def whole_blocks(pieces: DataFrame, n: int) -> DataFrame:
+    """(block_no, data) of all n blocks of an image from its pieces, with zeros where none lies. A block holds a bounded number of pieces."""
+    cuts = pieces.where(F.octet_length("data") > 0).withColumn("end", F.col("offset") + F.octet_length("data"))
+    number = lambda c: F.floor(c / F.lit(BLOCK)).cast("long")
+    split = cuts.withColumn("block_no", F.explode(F.sequence(number(F.col("offset")), number(F.col("end") - 1))))
+    low, high = F.greatest("offset", F.col("block_no") * BLOCK), F.least("end", (F.col("block_no") + 1) * BLOCK)
+    parts = split.select("block_no", (low - F.col("block_no") * BLOCK).cast("int").alias("at"), F.substring(F.col("data"), (low - F.col("offset") + 1).cast("int"), (high - low).cast("int")).alias("data"))
+
+    def join(rows: pd.DataFrame) -> pd.DataFrame:
+        out = bytearray(BLOCK)
+        for at, data in zip(rows["at"], rows["data"], strict=True):
+            if data is not None:
+                out[int(at) : int(at) + len(data)] = data
+        return pd.DataFrame({"block_no": [rows.block_no.iloc[0]], "data": [bytes(out)]})
+
+    every = pieces.sparkSession.range(n).select(F.col("id").alias("block_no"), F.lit(0).alias("at"), F.lit(None).cast("binary").alias("data"))
+    return parts.unionByName(every).groupBy("block_no").applyInPandas(join, "block_no long, data binary")
+
+
 def folder_contents(spark, root: str, block: int = BLOCK) -> DataFrame:
     """(path, offset, data) of every file below root, a block a row. A file as a whole must fit in a row."""
     from lithospark.functions.blocks import split_blocks

@@ -1,34 +1,17 @@
-"""Settings of the composed commands."""
+"""Arguments of the composed commands."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
-from lithospark.constants import BLOCK
-
-
-@dataclass(frozen=True)
-class ValidationOptions:
-    tolerant: bool = False  # an all-zero stored digest is a warning
-    check_content: bool = True  # inflate every block
-    first_only: bool = False  # stop at a file's first failure
-
-
-@dataclass(frozen=True)
-class ExtractOptions:
-    continue_on_error: bool = True
-    only: tuple[str, ...] = ()
-
-
-@dataclass(frozen=True)
-class BuildOptions:
-    block: int = BLOCK
-    expected_compressed: int | None = None
-    store_raw: bool = False  # no block is compressed
-    project: dict = field(default_factory=dict)
-
 
 def entry_argument(text: str) -> tuple[str, str | None]:
     """package[:entry]; a colon among the first two characters belongs to a drive."""
     at = text.find(":", 2)
     return (text, None) if at < 0 else (text[:at], text[at + 1 :])
+
+
+def assignments(texts: list[str]) -> list[tuple[str, str]]:
+    """KEY=VALUE pairs; a value may hold further signs of equality."""
+    pairs = [t.partition("=") for t in texts]
+    if bad := [t for t, (k, sign, _) in zip(texts, pairs, strict=True) if not sign or not k]:
+        raise ValueError(f"not KEY=VALUE: {', '.join(bad)}")
+    return [(k, v) for k, _, v in pairs]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lithospark.constants import BLOCK, IMAGE_FIELDS, REMADE_FILES
+from lithospark.functions import scalars
 from lithospark.functions.paths import normalize_key
 from lithospark.operators import aggregate, classify, joins, ordering, overlay, rules, trees, windows
 from lithospark.sources import containers
@@ -99,6 +100,21 @@ def container_profile(blocks: DataFrame, files: DataFrame, block: int = BLOCK) -
     return joins.range_policies(files, blocks, block), aggregate.image_stats(blocks, block, ["file"])
 
 
+def image_policies(listing_: DataFrame, inodes: DataFrame, table: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(file, path, policy) of an image's files by the stored sizes of their blocks; no block is inflated."""
+    start = F.get("direct", F.lit(0))
+    files = listing_.where(~F.col("is_directory")).select("file", "inode", "path").join(inodes.select("file", "inode", start.alias("start_block"), F.col("blocks").alias("block_count")), ["file", "inode"])
+    return joins.range_policies(files, windows.stored_sizes(table).where("stored_size is not null"), block).select("file", "path", "policy")
+
+
+def path_table(content: DataFrame) -> DataFrame:
+    """(file, ordinal, hash, slot, inode, flags) of an image's path table, from its content."""
+    rows = content.where("inode = 1").withColumn("k", F.explode(F.sequence(F.lit(0), (F.octet_length("data") / 8).cast("int") - 1)))
+    number = lambda at: F.conv(F.concat(*(F.hex(F.substring(F.col("data"), F.col("k") * 8 + at + b, F.lit(1))) for b in (4, 3, 2, 1))), 16, 10).cast("long")
+    slots = rows.select("file", (F.col("ordinal") * F.lit(BLOCK // 8) + F.col("k")).alias("ordinal"), number(0).alias("hash"), number(4).alias("slot"))
+    return slots.withColumns({"inode": scalars.slot_inode(F.col("slot")), "flags": scalars.slot_flags(F.col("slot"))})
+
+
 def profile_report(this: DataFrame, other: DataFrame) -> dict[str, DataFrame]:
     diff = joins.policy_diff(this, other)
     return {"counts": joins.diff_counts(diff), "mismatches": ordering.first_n(diff.where("status = 'mismatched'"), 20, "path")}

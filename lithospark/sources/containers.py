@@ -43,7 +43,7 @@ RELATIONS: dict[str, tuple[str, object]] = {
         "dinode_block_count long, seed binary, file_size long",
         lambda r, n: [layouts.image_header(r, n)],
     ),
-    "inodes": ("inode long, mode int, nlink int, flags long, size long, size_uncompressed long, blocks long, direct array<long>, indirect array<long>", layouts.image_inodes),
+    "inodes": ("inode long, mode int, nlink int, flags long, size long, size_uncompressed long, blocks long, direct array<long>, indirect array<long>, raw binary", layouts.image_inodes),
     "dirents": ("parent long, ordinal long, inode long, type int, name_length int, entry_size int, name string", layouts.image_dirents),
     "image_content": ("inode long, ordinal long, data binary", layouts.image_content),
     "image_blocks": ("inode long, ordinal long, block long", layouts.image_blocks),
@@ -124,7 +124,9 @@ class StrataReader(DataSourceReader):
                 parts.append(Part(path, size))
         return parts
 
-    def read(self, part: Part) -> Iterator[tuple]:
+    def read(self, part: Part | None) -> Iterator[tuple]:
+        if part is None:  # a folder without such files
+            return
         schema, scan = RELATIONS[self.relation]
         names = [f.split()[0] for f in schema.split(", ")]
         with _open(part.path) as read:

@@ -172,7 +172,7 @@ def image_inodes(read: Read, size: int) -> Iterator[dict]:
             blocks = struct.unpack_from("<q" if wide else "<I", data, at + 96)[0]
             spots = [at + first + i * (skip + pointer[1]) + skip for i in range(17)]
             pointers = [struct.unpack_from("<" + pointer[0], data, s)[0] for s in spots]
-            yield {"inode": block * per + k, "mode": mode, "nlink": links, "flags": flags, "size": stored, "size_uncompressed": whole, "blocks": blocks, "direct": pointers[:12], "indirect": pointers[12:]}
+            yield {"inode": block * per + k, "mode": mode, "nlink": links, "flags": flags, "size": stored, "size_uncompressed": whole, "blocks": blocks, "direct": pointers[:12], "indirect": pointers[12:], "raw": data[at : at + each]}
 
 
 def inode_blocks(read: Read, inode: dict, signed: bool = False) -> Iterator[int]:

@@ -12,7 +12,7 @@ import pyarrow.fs as fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithospark.constants import BLOCK, PFSC_MAGIC, SFO_FORMATS, SWEEP_COLUMNS, TROPHY_PATTERNS
+from lithospark.constants import BLOCK, INODE_SIZE, PFSC_MAGIC, SFO_FORMATS, STRUCTURAL_INODES, SWEEP_COLUMNS, SYSTEM_ENTRIES, TROPHY_PATTERNS
 from lithospark.functions.paths import is_traversal, normalize_key
 from lithospark.functions.scalars import scrub
 from lithospark.operators.classify import trophy_rank
@@ -26,7 +26,12 @@ def sweep_lines(report: DataFrame) -> DataFrame:
 
 
 def write_sweep(report: DataFrame, path: str) -> None:
-    sweep_lines(report).write.mode("overwrite").option("sep", "\t").option("header", "true").option("quote", "").csv(path)
+    """One tab-separated file in the order of the files' names, with a byte order mark and a header. Rows are streamed."""
+    system, target = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    with system.open_output_stream(target) as out:
+        out.write(b"\xef\xbb\xbf" + "\t".join(SWEEP_COLUMNS).encode() + b"\r\n")
+        for row in sweep_lines(report).orderBy("File").toLocalIterator(prefetchPartitions=True):
+            out.write("\t".join(row).encode() + b"\r\n")
 
 
 def profile_json(policies: DataFrame, group: str = "file") -> DataFrame:
@@ -36,14 +41,25 @@ def profile_json(policies: DataFrame, group: str = "file") -> DataFrame:
     return kept.groupBy(group).agg(F.to_json(F.struct(F.lit(1).alias("Version"), F.map_from_entries(entries).alias("Files"))).alias("json"))
 
 
-def build_manifest(files: DataFrame, project: dict) -> DataFrame:
-    """(json): what a build would hold: the project's values and totals of files, bytes and policies."""
-    totals = files.agg(
-        F.count(F.lit(1)).alias("FileCount"), F.coalesce(F.sum("size"), F.lit(0)).alias("TotalBytes"), F.coalesce(F.max("size"), F.lit(0)).alias("LargestFile"), F.countDistinct("path").alias("DistinctPaths"),
-        *(F.count_if(F.col("policy") == p).alias(p.capitalize() + "Count") for p in ("enable", "disable", "none")),
-        *(F.coalesce(F.sum(F.when(F.col("policy") == p, F.col("size"))), F.lit(0)).alias(p.capitalize() + "Bytes") for p in ("enable", "disable", "none")),
-    )
-    return totals.select(F.to_json(F.struct(*(F.lit(v).alias(k) for k, v in project.items()), *totals.columns)).alias("json"))
+def build_manifest(files: DataFrame, project: dict, facts: dict, n_entries: int = 0) -> DataFrame:
+    """(json): what was built, in one row. files: (path, size) of the image.
+
+    project has content_id, title_id, title and volume_type; facts has what is
+    known of inner_size, container_size, outer_size, package_size, mode, time
+    and sha256. What is not known is null.
+    """
+    from lithospark.operators.aggregate import directory_totals
+
+    inodes = F.col("files") + F.col("directories") + STRUCTURAL_INODES
+    blocks = F.ceil(inodes * INODE_SIZE / F.lit(BLOCK))
+    value = lambda v, kind="string": F.lit(v).cast(kind)
+    fields = [
+        value("lithospark").alias("tool"), value(facts.get("version")).alias("version"), value(facts.get("time")).alias("buildTimestamp"), value(project.get("content_id", "")).alias("contentId"), value(project.get("title_id", "")).alias("titleId"),
+        value(project.get("title", "")).alias("title"), value(project.get("volume_type", "")).alias("packageType"), value(facts.get("mode")).alias("pfscMode"), F.col("files").alias("fileCount"), F.col("directories").alias("directoryCount"),
+        value(facts.get("inner_size"), "long").alias("innerPfsSize"), value(facts.get("container_size"), "long").alias("pfscSize"), value(facts.get("outer_size"), "long").alias("outerPfsSize"), value(facts.get("package_size"), "long").alias("pkgSize"),
+        inodes.alias("inodeCount"), blocks.alias("inodeBlockCount"), F.lit(n_entries + SYSTEM_ENTRIES).alias("sc0EntryCount"), value(facts.get("sha256")).alias("sha256"),
+    ]
+    return directory_totals(files).select(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("json"))
 
 
 def project_xml(project: dict, files: list[tuple[str, str, str]], directories: list[str]) -> str:
