@@ -7,6 +7,9 @@ somewhere and occurs more than once can be repeats. Batches of text ask the
 parts of hash space which of their blocks are such hits; a block that a batch
 holds more than once is asked for once.
 
+Blocks and windows are sent in passes over hash space, so a pass sends about a
+third of all; their owners travel as places in the batch.
+
 Hits are extended to windows: near them every window is hashed, and batches ask
 where it starts first (the least id, then the least position); each sends the
 first start it has. Windows that start earlier elsewhere are repeats;
@@ -21,7 +24,8 @@ are told by a 64-bit hash of their key and text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -31,11 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lithospark.llm.columns import Passing
-from lithospark.llm.parts import cut_parts, joined, low, owned_rows, part_count, part_of
+from lithospark.llm.parts import cut_parts, joined, low, owned_rows, part_count, part_of, places, steps
 from lithospark.llm.textkernel import U64, Piece, grams, pieces, space_words
 from lithospark.session import cut
 
 WORD_BYTES = 6
+#: Passes over the blocks, each about its share of hash space; parts that a pass has at least.
+PASSES, PASS_PARTS = 3, 16
 LAST = 2**63 - 1
 #: Hashes of documents that may be broadcast; beyond, a shuffle joins them.
 BROADCAST_ROWS = 1_000_000
@@ -64,12 +70,16 @@ def by_run(owner: np.ndarray, *values: np.ndarray) -> tuple[bytes, bytes, list[b
     return o[change].tobytes(), np.diff(np.append(change, len(o))).astype(np.uint32).tobytes(), [v[order].tobytes() for v in values]
 
 
-ASKED = pa.schema([("part", pa.int32()), ("batch", pa.int64()), ("base", pa.int64()), *((c, pa.binary()) for c in ("owners", "runs", "tokens", "multi"))])
-OFFER = "part int, batch long, base long, owners binary, runs binary, tokens binary, multi binary"
+ASKED = pa.schema([("part", pa.int32()), ("batch", pa.int64()), ("base", pa.int64()), *((c, pa.binary()) for c in ("names", "low", "high", "tokens", "multi"))])
+OFFER = "part int, batch long, base long, names binary, low binary, high binary, tokens binary, multi binary"
+
 
+def _offer(window: int, parts: int, begin: int, end: int):
+    """Block hashes for the parts from begin to end; the lowest bit marks anchors. Blocks repeated in a batch are hits at once.
 
-def _offer(window: int, parts: int):
-    """Block hashes for the parts; the lowest bit marks anchors. Blocks repeated in a batch are hits at once."""
+    Owners are places in the batch. One row names its documents, with the hits
+    known at once; it goes to any part and comes back as it is.
+    """
     size = window // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,36 +90,68 @@ def _offer(window: int, parts: int):
                 at, text = _inside(piece, size, window)
                 if not len(at):
                     continue
-                number += 1
-                own = ids[piece.begin : piece.end][text]
                 blocks = grams(words.hashes(piece.data, piece.starts, piece.ends), size, 11)[at]
+                part = part_of(blocks, parts)
+                now = np.flatnonzero((part >= begin) & (part < end))
+                if not len(now):
+                    continue
+                number += 1
+                at, text, blocks = at[now], text[now], blocks[now]
+                named, owner = np.unique(text, return_inverse=True)
                 anchor = (piece.base + at - piece.first[text]) % size == 0
                 tokens = (blocks & U64(0xFFFFFFFFFFFFFFFE)) | anchor.astype(U64)
                 bare = tokens & U64(0xFFFFFFFFFFFFFFFE)
                 order = np.argsort(bare, kind="stable")
                 sorted_ = bare[order]
-                begin = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
-                runs = np.diff(np.append(begin, len(sorted_)))
+                first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+                runs = np.diff(np.append(first, len(sorted_)))
                 repeated = np.empty(len(tokens), bool)
                 repeated[order] = np.repeat(runs > 1, runs)
-                many = (sorted_[begin] | np.maximum.reduceat(anchor[order].astype(U64), begin))[runs > 1]
-                rows = []
-                if repeated.any():
-                    hit = tokens[repeated]
-                    owners, lengths, (keys,) = by_run(own[repeated], fold(part_of(hit, parts), low(hit)))
-                    rows.append((number * 7919 % parts, number, piece.base, owners, lengths, b"", keys))
-                order, begin = cut_parts(many, parts)
-                multi = {p: low(many[order[begin[p] : begin[p + 1]]]).tobytes() for p in np.flatnonzero(np.diff(begin)).tolist()}
-                singles = tokens[~repeated]
-                for p, owners, lengths, take in owned_rows(own[~repeated], singles, parts):
-                    rows.append((p, number, piece.base, owners, lengths, low(singles[take]).tobytes(), multi.pop(p, b"")))
-                rows += [(p, number, piece.base, b"", b"", b"", body) for p, body in multi.items()]
+                many = (sorted_[first] | np.maximum.reduceat(anchor[order].astype(U64), first))[runs > 1]
+                hit = tokens[repeated]
+                rows = [(begin + number * 7919 % (end - begin), number, piece.base, ids[piece.begin : piece.end][named].tobytes(), *steps(owner[repeated]), b"", fold(part_of(hit, parts), low(hit)).tobytes())]
+                order, edge = cut_parts(many, parts)
+                multi = {p: low(many[order[edge[p] : edge[p + 1]]]).tobytes() for p in np.flatnonzero(np.diff(edge)).tolist()}
+                singles, owner = tokens[~repeated], owner[~repeated]
+                order, edge = cut_parts(singles, parts)
+                singles, owner = low(singles[order]), owner[order]
+                for p in np.flatnonzero(np.diff(edge)).tolist():
+                    mine = slice(edge[p], edge[p + 1])
+                    rows.append((p, number, piece.base, b"", *steps(owner[mine]), singles[mine].tobytes(), multi.pop(p, b"")))
+                rows += [(p, number, piece.base, b"", b"", b"", b"", body) for p, body in multi.items()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), ASKED, strict=True)], schema=ASKED)
 
     return run
 
 
-ANSWER = "batch long, base long, owners binary, runs binary, keys binary"
+ANSWER = "batch long, base long, names binary, low binary, high binary, keys binary"
+
+
+def _hits(rows: pd.DataFrame) -> pd.DataFrame:
+    """For each row that asks, its blocks that are anchors somewhere and occur more than once."""
+    part = np.int64(rows.part.iloc[0])
+    tells = rows.names.str.len() > 0
+    told, rows = rows[tells], rows[~tells]
+    out = list(zip(told.batch, told.base, told.names, told.low, told.high, told.multi, strict=True))
+    token, multi = joined(rows.tokens, np.uint32), joined(rows.multi, np.uint32)
+    row = np.repeat(np.arange(len(rows)), rows.tokens.str.len().to_numpy() // 4)
+    every = np.concatenate([token, multi])
+    _, inverse = np.unique(every & np.uint32(0xFFFFFFFE), return_inverse=True)
+    times = np.bincount(inverse, np.concatenate([np.ones(len(token)), np.full(len(multi), 2)]))
+    anchors = np.bincount(inverse, every & np.uint32(1))
+    live = ((times > 1) & (anchors > 0))[inverse[: len(token)]]
+    row, owner, key = row[live], places(rows)[live], fold(part, token[live])
+    edge = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
+    batch, base = rows.batch.to_numpy(), rows.base.to_numpy()
+    for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(row)], strict=False):
+        out.append((batch[row[a]], base[row[a]], b"", *steps(owner[a:b]), key[a:b].tobytes()))
+    return pd.DataFrame(out, columns=["batch", "base", "names", "low", "high", "keys"])
+
+
+def _keys(rows: pd.DataFrame) -> pd.DataFrame:
+    """The hits of each document of a batch, from the answers to the batch."""
+    names = joined(rows.names, np.int64)
+    return _by_document(names[places(rows)], joined(rows["keys"], np.uint32), rows.base.iloc[0], "keys")
 
 
 def split_told(rows: pd.DataFrame, asked: str) -> tuple[pd.DataFrame, pd.DataFrame]:
@@ -130,48 +172,40 @@ def answered(rows: pd.DataFrame, row: np.ndarray, owner: np.ndarray, value: np.n
     return out
 
 
-def _hits(rows: pd.DataFrame) -> pd.DataFrame:
-    """For each row that asks, its blocks that are anchors somewhere and occur more than once."""
-    part = np.int64(rows.part.iloc[0])
-    told, rows = split_told(rows, "tokens")
-    out = list(zip(told.batch, told.base, told.owners, told.runs, told.multi, strict=True))
-    token, multi = joined(rows.tokens, np.uint32), joined(rows.multi, np.uint32)
+def _positions(rows: pd.DataFrame) -> pd.DataFrame:
+    """The repeated windows of each document of a batch, from the answers to the batch."""
     owner = np.repeat(joined(rows.owners, np.int64), joined(rows.runs, np.uint32))
-    row = np.repeat(np.arange(len(rows)), rows.tokens.str.len().to_numpy() // 4)
-    every = np.concatenate([token, multi])
-    _, inverse = np.unique(every & np.uint32(0xFFFFFFFE), return_inverse=True)
-    times = np.bincount(inverse, np.concatenate([np.ones(len(token)), np.full(len(multi), 2)]))
-    anchors = np.bincount(inverse, every & np.uint32(1))
-    live = ((times > 1) & (anchors > 0))[inverse[: len(token)]]
-    out += answered(rows, row[live], owner[live], fold(part, token[live]))
-    return pd.DataFrame(out, columns=["batch", "base", "owners", "runs", "keys"])
+    return _by_document(owner, joined(rows.positions, np.uint32), rows.base.iloc[0], "positions")
 
 
-def _by_document(column: str):
-    """One row for each document of a batch: (k, base, values), from the answers to the batch."""
+def _by_document(owner: np.ndarray, value: np.ndarray, base: int, column: str) -> pd.DataFrame:
+    """One row for each document of a batch that has values: (k, base, values)."""
+    order = np.lexsort((value, owner))
+    o, v = owner[order], value[order]
+    change = (o[1:] != o[:-1]) | (v[1:] != v[:-1])
+    keep = np.concatenate([[True], change])[: len(o)]
+    o, v = o[keep], v[keep]
+    edge = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]])[: len(o)])
+    return pd.DataFrame({"k": o[edge], "base": base, column: [x.tobytes() for x in np.split(v, edge[1:])][: len(edge)]})
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        owner, value = np.repeat(joined(rows.owners, np.int64), joined(rows.runs, np.uint32)), joined(rows[column], np.uint32)
-        order = np.lexsort((value, owner))
-        o, v = owner[order], value[order]
-        keep = np.concatenate([[True], (o[1:] != o[:-1]) | (v[1:] != v[:-1])])
-        o, v = o[keep], v[keep]
-        edge = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
-        return pd.DataFrame({"k": o[edge], "base": rows.base.iloc[0], column: [x.tobytes() for x in np.split(v, edge[1:])]})
-
-    return run
 
+def _in_passes(parts: int, found: Callable[[int, int], DataFrame], column: str) -> DataFrame:
+    """(k, column as an array): what found(begin, end) has of each piece of a document for the parts from begin to end.
 
-def _whole(rows: DataFrame, column: str) -> DataFrame:
-    """(k, column as an array): what each piece of a document has. Equal rows say the same in each batch, so any one stands."""
-    return rows.groupBy("k", "base").agg(F.max(column).alias(column)).groupBy("k").agg(F.collect_list(column).alias(column))
+    What a pass shuffles goes before the next one begins. Equal rows say the same in each batch, so any one stands.
+    """
+    passes = max(1, min(PASSES, parts // PASS_PARTS))
+    edges = [parts * p // passes for p in range(passes + 1)]
+    each = (found(a, b).groupBy("k", "base").agg(F.max(column).alias(column)) for a, b in zip(edges, edges[1:], strict=False))
+    every = reduce(DataFrame.unionByName, [cut(rows) if passes > 1 else rows for rows in each])
+    return cut(every.groupBy("k").agg(F.collect_list(column).alias(column)))
 
 
 WINDOWS = pa.schema([("part", pa.int32()), ("batch", pa.int64()), ("base", pa.int64()), *((c, pa.binary()) for c in ("owners", "ids", "runs", "hashes", "positions"))])
 
 
-def _windows(window: int, parts: int, window_parts: int):
-    """Hashes and positions of the windows near hits: of each the first in the batch; later ones are repeats at once."""
+def _windows(window: int, parts: int, window_parts: int, least: int, end: int):
+    """Hashes and positions of the windows near hits that belong to the parts from least to end: of each the first in the batch; later ones are repeats at once."""
     size = window // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,12 +226,14 @@ def _windows(window: int, parts: int, window_parts: int):
                 for t, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)):
                     near[at[a:b] + 1] = np.isin(folded[a:b], joined(keys[piece.begin + t].as_py(), np.uint32))
                 near = np.cumsum(near)
-                close = near[begin + window - size + 1] > near[begin]
-                begin, of = begin[close], of[close]
+                where = grams(hashes, window, 12)[begin]
+                part = part_of(where, window_parts)
+                close = (near[begin + window - size + 1] > near[begin]) & (part >= least) & (part < end)
+                begin, of, where = begin[close], of[close], where[close]
                 if not len(begin):
                     continue
                 number += 1
-                where, told = grams(hashes, window, 12)[begin], grams(hashes, window, 13)[begin]
+                told = grams(hashes, window, 13)[begin]
                 position = (begin - piece.first[of] + piece.base).astype(np.uint32)
                 k, id_ = ks[piece.begin : piece.end][of], orders[piece.begin : piece.end][of]
                 order = np.lexsort((position, k, id_))
@@ -209,7 +245,7 @@ def _windows(window: int, parts: int, window_parts: int):
                 same = np.flatnonzero((k[lead] != k) | (position[lead] != position))
                 if len(same):
                     owners, runs, (positions,) = by_run(k[same], position[same])
-                    rows.append((number * 7919 % window_parts, number, piece.base, owners, b"", runs, b"", positions))
+                    rows.append((least + number * 7919 % (end - least), number, piece.base, owners, b"", runs, b"", positions))
                 first = np.sort(earliest)
                 for p, owners, runs, take in owned_rows(first, where[first], window_parts):
                     # Owners are places here, so each is a run of its own; those of one document are joined.
@@ -330,14 +366,22 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     texts = docs.select(F.col("_k").alias("k"), order.alias("id"), F.col(body).alias("body"))
     size = texts.agg(F.sum(F.octet_length("body").cast("long"))).first()[0] or 0
     parts = part_count(size // WORD_BYTES)
-    asked = texts.select("k", "body").mapInArrow(_offer(window, parts), OFFER)
-    found = asked.groupBy("part").applyInPandas(_hits, ANSWER).groupBy("batch").applyInPandas(_by_document("keys"), "k long, base long, keys binary")
-    hits = cut(_whole(found, "keys"))
+
+    def known(begin: int, end: int) -> DataFrame:
+        asked = texts.select("k", "body").mapInArrow(_offer(window, parts, begin, end), OFFER)
+        return asked.groupBy("part").applyInPandas(_hits, ANSWER).groupBy("batch").applyInPandas(_keys, "k long, base long, keys binary")
+
+    hits = _in_passes(parts, known, "keys")
     n_hits = hits.agg(F.sum(F.aggregate("keys", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x)))).first()[0] or 0
     window_parts = part_count(2 * n_hits // 4)
-    near = _only(texts, hits).join(hits, "k").mapInArrow(_windows(window, parts, window_parts), "part int, batch long, base long, owners binary, ids binary, runs binary, hashes binary, positions binary")
-    found = near.groupBy("part").applyInPandas(_later, "batch long, base long, owners binary, runs binary, positions binary")
-    later = cut(_whole(found.groupBy("batch").applyInPandas(_by_document("positions"), "k long, base long, positions binary"), "positions"))
+    near = _only(texts, hits).join(hits, "k")
+
+    def repeated(begin: int, end: int) -> DataFrame:
+        asked = near.mapInArrow(_windows(window, parts, window_parts, begin, end), "part int, batch long, base long, owners binary, ids binary, runs binary, hashes binary, positions binary")
+        answers = asked.groupBy("part").applyInPandas(_later, "batch long, base long, owners binary, runs binary, positions binary")
+        return answers.groupBy("batch").applyInPandas(_positions, "k long, base long, positions binary")
+
+    later = _in_passes(window_parts, repeated, "positions")
     added = passing.schema() + "n_words long, n_removed long, repeats array<struct<first_word: long, end_word: long>>, kept_text string"
     strip, rows = _strip(window, body, passing.inner), docs.select("_k", *passing.inner, body)
     changed = later.select(F.col("k").alias("_k"), "positions")

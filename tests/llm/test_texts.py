@@ -3,9 +3,12 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 
+from lithospark.llm import parts
+from lithospark.llm import substring_dedup as sd
 from lithospark.llm import textkernel as tk
 from lithospark.llm.decontaminate import decontaminate, merged
 from lithospark.llm.substring_dedup import substring_dedup
@@ -166,6 +169,48 @@ def test_substring_dedup_of_long_texts(spark):
         assert " ".join(w for k, w in enumerate(text.split()) if k not in gone) == want[i][2]
 
 
+def test_substring_dedup_sends_a_third_at_once(spark, monkeypatch):
+    monkeypatch.setattr("lithospark.llm.parts.PART_TOKENS", 64)
+    rng, sent = random.Random(3), []
+
+    def counted(step):
+        def spy(*args):
+            run, total = step(*args), spark.sparkContext.accumulator(0)
+            sent.append(total)
+
+            def counting(batches):
+                for batch in run(batches):
+                    total.add(sum(len(x) for c in batch.columns if pa.types.is_binary(c.type) for x in c.to_pylist()))
+                    yield batch
+
+            return counting
+
+        return spy
+
+    monkeypatch.setattr(sd, "_offer", counted(sd._offer))
+    rows = [(k, " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.choice([15, 150, 400])))) for k in range(60)]
+    rows += [(100 + k, " ".join([*(f"v{k}x{i}" for i in range(k)), *x.split()[5:60], "end"])) for k, (_, x) in enumerate(rows)]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == brute.substring(rows)
+    blocks = sum(max(0, len(x.split()) - 9) for _, x in rows)
+    assert len(sent) > 1 and max(x.value for x in sent) <= 4 * blocks  # 4 bytes a hash and some for its owner, of a third
+
+
+def test_substring_dedup_in_passes_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr("lithospark.llm.parts.PART_TOKENS", 64)
+    rows = passages(4)
+    got = substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in got} == brute.substring(rows)
+
+
+def test_places_go_as_steps():
+    rng = np.random.default_rng(2)
+    each = [np.sort(rng.integers(0, top, n)) for top, n in [(3, 50), (5000, 40), (1, 0), (2**24, 9), (2**24, 1), (1, 4)]]
+    rows = pd.DataFrame([parts.steps(x) for x in each], columns=["low", "high"])
+    assert parts.places(rows).tolist() == np.concatenate(each).tolist()
+    assert [len(x) for x in rows.high][::5] == [0, 0]
+
+
 def test_substring_dedup_of_repeated_rows_and_keys(spark):
     text = " ".join(f"w{k}" for k in range(50))
     rows = [(7, text)] * 40 + [(None, text + " end")] * 40 + [(7, "other " + text)] * 3 + [(8, text)]
