@@ -7,8 +7,8 @@ somewhere and occurs more than once can be repeats. Batches of text ask the
 parts of hash space which of their blocks are such hits; a block that a batch
 holds more than once is asked for once.
 
-Blocks and windows are sent in passes over hash space, so a pass sends about a
-third of all; their owners travel as places in the batch.
+Blocks are sent in passes over hash space, so a pass sends about a third of all;
+their owners travel as places in the batch.
 
 Hits are extended to windows: near them every window is hashed, and batches ask
 where it starts first (the least id, then the least position); each sends the
@@ -24,7 +24,7 @@ are told by a 64-bit hash of their key and text.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -42,6 +42,8 @@ from lithospark.session import cut
 WORD_BYTES = 6
 #: Passes over the blocks, each about its share of hash space; parts that a pass has at least.
 PASSES, PASS_PARTS = 3, 16
+#: Bytes of text for each file of a checkpoint. On a local file system each file costs some processes.
+FILE_BYTES = 1 << 24
 LAST = 2**63 - 1
 #: Hashes of documents that may be broadcast; beyond, a shuffle joins them.
 BROADCAST_ROWS = 1_000_000
@@ -189,23 +191,21 @@ def _by_document(owner: np.ndarray, value: np.ndarray, base: int, column: str) -
     return pd.DataFrame({"k": o[edge], "base": base, column: [x.tobytes() for x in np.split(v, edge[1:])][: len(edge)]})
 
 
-def _in_passes(parts: int, found: Callable[[int, int], DataFrame], column: str) -> DataFrame:
-    """(k, column as an array): what found(begin, end) has of each piece of a document for the parts from begin to end.
+def _each(rows: DataFrame, column: str) -> DataFrame:
+    """(k, base, column): what each piece of a document has. Equal rows say the same in each batch, so any one stands."""
+    return rows.groupBy("k", "base").agg(F.max(column).alias(column))
 
-    What a pass shuffles goes before the next one begins. Equal rows say the same in each batch, so any one stands.
-    """
-    passes = max(1, min(PASSES, parts // PASS_PARTS))
-    edges = [parts * p // passes for p in range(passes + 1)]
-    each = (found(a, b).groupBy("k", "base").agg(F.max(column).alias(column)) for a, b in zip(edges, edges[1:], strict=False))
-    every = reduce(DataFrame.unionByName, [cut(rows) if passes > 1 else rows for rows in each])
-    return cut(every.groupBy("k").agg(F.collect_list(column).alias(column)))
+
+def _whole(rows: DataFrame, column: str) -> DataFrame:
+    """(k, column as an array)."""
+    return rows.groupBy("k").agg(F.collect_list(column).alias(column))
 
 
 WINDOWS = pa.schema([("part", pa.int32()), ("batch", pa.int64()), ("base", pa.int64()), *((c, pa.binary()) for c in ("owners", "ids", "runs", "hashes", "positions"))])
 
 
-def _windows(window: int, parts: int, window_parts: int, least: int, end: int):
-    """Hashes and positions of the windows near hits that belong to the parts from least to end: of each the first in the batch; later ones are repeats at once."""
+def _windows(window: int, parts: int, window_parts: int):
+    """Hashes and positions of the windows near hits: of each the first in the batch; later ones are repeats at once."""
     size = window // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,14 +226,12 @@ def _windows(window: int, parts: int, window_parts: int, least: int, end: int):
                 for t, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)):
                     near[at[a:b] + 1] = np.isin(folded[a:b], joined(keys[piece.begin + t].as_py(), np.uint32))
                 near = np.cumsum(near)
-                where = grams(hashes, window, 12)[begin]
-                part = part_of(where, window_parts)
-                close = (near[begin + window - size + 1] > near[begin]) & (part >= least) & (part < end)
-                begin, of, where = begin[close], of[close], where[close]
+                close = near[begin + window - size + 1] > near[begin]
+                begin, of = begin[close], of[close]
                 if not len(begin):
                     continue
                 number += 1
-                told = grams(hashes, window, 13)[begin]
+                where, told = grams(hashes, window, 12)[begin], grams(hashes, window, 13)[begin]
                 position = (begin - piece.first[of] + piece.base).astype(np.uint32)
                 k, id_ = ks[piece.begin : piece.end][of], orders[piece.begin : piece.end][of]
                 order = np.lexsort((position, k, id_))
@@ -245,7 +243,7 @@ def _windows(window: int, parts: int, window_parts: int, least: int, end: int):
                 same = np.flatnonzero((k[lead] != k) | (position[lead] != position))
                 if len(same):
                     owners, runs, (positions,) = by_run(k[same], position[same])
-                    rows.append((least + number * 7919 % (end - least), number, piece.base, owners, b"", runs, b"", positions))
+                    rows.append((number * 7919 % window_parts, number, piece.base, owners, b"", runs, b"", positions))
                 first = np.sort(earliest)
                 for p, owners, runs, take in owned_rows(first, where[first], window_parts):
                     # Owners are places here, so each is a run of its own; those of one document are joined.
@@ -366,22 +364,18 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     texts = docs.select(F.col("_k").alias("k"), order.alias("id"), F.col(body).alias("body"))
     size = texts.agg(F.sum(F.octet_length("body").cast("long"))).first()[0] or 0
     parts = part_count(size // WORD_BYTES)
-
-    def known(begin: int, end: int) -> DataFrame:
+    passes, files = max(1, min(PASSES, parts // PASS_PARTS)), max(1, size // FILE_BYTES)
+    edges, found = [parts * p // passes for p in range(passes + 1)], []
+    for begin, end in zip(edges, edges[1:], strict=False):  # what a pass shuffles goes before the next one begins
         asked = texts.select("k", "body").mapInArrow(_offer(window, parts, begin, end), OFFER)
-        return asked.groupBy("part").applyInPandas(_hits, ANSWER).groupBy("batch").applyInPandas(_keys, "k long, base long, keys binary")
-
-    hits = _in_passes(parts, known, "keys")
+        keys = _each(asked.groupBy("part").applyInPandas(_hits, ANSWER).groupBy("batch").applyInPandas(_keys, "k long, base long, keys binary"), "keys")
+        found.append(cut(keys.coalesce(files)) if passes > 1 else keys)
+    hits = cut(_whole(reduce(DataFrame.unionByName, found), "keys").coalesce(files))
     n_hits = hits.agg(F.sum(F.aggregate("keys", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x)))).first()[0] or 0
     window_parts = part_count(2 * n_hits // 4)
-    near = _only(texts, hits).join(hits, "k")
-
-    def repeated(begin: int, end: int) -> DataFrame:
-        asked = near.mapInArrow(_windows(window, parts, window_parts, begin, end), "part int, batch long, base long, owners binary, ids binary, runs binary, hashes binary, positions binary")
-        answers = asked.groupBy("part").applyInPandas(_later, "batch long, base long, owners binary, runs binary, positions binary")
-        return answers.groupBy("batch").applyInPandas(_positions, "k long, base long, positions binary")
-
-    later = _in_passes(window_parts, repeated, "positions")
+    near = _only(texts, hits).join(hits, "k").mapInArrow(_windows(window, parts, window_parts), "part int, batch long, base long, owners binary, ids binary, runs binary, hashes binary, positions binary")
+    found = near.groupBy("part").applyInPandas(_later, "batch long, base long, owners binary, runs binary, positions binary")
+    later = cut(_whole(_each(found.groupBy("batch").applyInPandas(_positions, "k long, base long, positions binary"), "positions"), "positions").coalesce(files))
     added = passing.schema() + "n_words long, n_removed long, repeats array<struct<first_word: long, end_word: long>>, kept_text string"
     strip, rows = _strip(window, body, passing.inner), docs.select("_k", *passing.inner, body)
     changed = later.select(F.col("k").alias("_k"), "positions")
