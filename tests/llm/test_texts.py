@@ -1,6 +1,7 @@
 """Substring dedup, decontamination, token counts and the text kernel."""
 
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ import pytest
 from lithospark.llm import parts
 from lithospark.llm import substring_dedup as sd
 from lithospark.llm import textkernel as tk
+from lithospark.llm import token_counts as counting
 from lithospark.llm.decontaminate import decontaminate, merged
 from lithospark.llm.substring_dedup import substring_dedup
 from lithospark.llm.textkernel import pieces, space_words
@@ -107,6 +109,53 @@ def test_token_counts(spark):
     assert token_counts(df.limit(0), path).count() == 0
 
 
+class Spy:
+    """A tokenizer that notes how many characters it is given."""
+
+    def __init__(self, real):
+        self.real, self.given = real, 0
+
+    def encode(self, text, **options):
+        self.given += len(text)
+        return self.real.encode(text, **options)
+
+    def encode_batch_fast(self, texts, **options):
+        self.given += sum(map(len, texts))
+        return self.real.encode_batch_fast(texts, **options)
+
+    def get_added_tokens_decoder(self):
+        return self.real.get_added_tokens_decoder()
+
+
+def test_pieces_that_come_again_are_encoded_once(monkeypatch):
+    path, t = tokenizer()
+    spy = Spy(t)
+    monkeypatch.setattr("tokenizers.Tokenizer", SimpleNamespace(from_str=lambda rules: spy))
+    monkeypatch.setattr(counting, "_counters", {})
+    texts = ["one word, another word.\nA line of its own " * 5000, "another word, one line.\nA word " * 20, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    with open(path, encoding="utf-8") as file:
+        run = counting._count(SimpleNamespace(value=file.read()), "text", counting.HUGE, True)
+    got = [n for b in run([batch]) for n in b.column("n_tokens").to_pylist()]
+    assert got == [len(t.encode(x or "", add_special_tokens=False)) for x in texts]
+    assert spy.given < 1000
+
+
+@pytest.mark.parametrize("block", [40, 700, 1 << 20])
+def test_pieces_count_as_the_whole(monkeypatch, block):
+    monkeypatch.setattr(counting, "BATCH_BYTES", block)
+    monkeypatch.setattr(counting, "KNOWN", 500)
+    _, t = tokenizer()
+    rng = random.Random(block)
+    pieces = [*"abZ79éàÿ×÷字–ñ٣²", *" \n\t\r\x0b\x0c\x1c\x1f\x00\x7f\x85\xa0\u1680\u180e\u2000\u2008\u2009\u200a\u200b\u2028\u202f\u205f\u3000\ufeff", *"  \n\n'.,<|>_-", "<|endoftext|>", "'re", " 's", "\n'll", "word", " word. ", "x" * 30]
+    texts = ["", "a", " ", "\n", "a ", " a", "a\n", "\na", "a \n b", "à b", "é. A", "b\n\nc", "<|endoftext|>.", "a.<|endoftext|> x", "z" * 3000, " " * 500 + "b"]
+    texts += ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
+    texts += ["".join(rng.choice(pieces[:30]) + a + rng.choice(pieces[:30]) for a in " \n.") for _ in range(3000)]
+    data, offsets = tk.text_buffer(pa.array(texts))
+    got = counting.PieceCounts(t).count(data, offsets, 50).tolist()
+    assert got == [len(t.encode(x, add_special_tokens=False)) for x in texts]
+
+
 def test_kernel_splits_like_the_patterns():
     rng = random.Random(0)
     texts = ["".join(rng.choice("aB9 \t\n\x0b.,-é字\x00\x7f") for _ in range(rng.randint(0, 60))) for _ in range(300)]
