@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from lithospark.llm.columns import Passing
 from lithospark.llm.textkernel import U64, slices, space_words, text_buffer
 
+#: Bytes of text whose statistics are taken at once; they take many times that in memory.
+SLICE = 1 << 20
 #: Labelled rows that are fitted, at most: those with the least hash of their id.
 MAX_TRAIN = 20_000
 DEPTH, TREES, RATE, BINS, LAMBDA = 4, 80, 0.2, 64, 1.0
@@ -160,7 +162,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Trees:
 def _score(model, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, text):
+            for batch in slices(whole, text, SLICE):
                 columns = {c: batch.column(c) for c in batch.schema.names}
                 columns["score"] = pa.array(model.value.score(statistics(*text_buffer(batch.column(text)))), pa.float64())
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
@@ -170,7 +172,7 @@ def _score(model, text: str):
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch in slices(whole, "body"):
+        for batch in slices(whole, "body", SLICE):
             x = statistics(*text_buffer(batch.column("body")))
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(list(x), pa.list_(pa.float32()))], ["label", "x"])
 

@@ -1,9 +1,15 @@
 """The pipeline stage by stage against plain versions, and the registration of all queries."""
 
+import tracemalloc
+from types import SimpleNamespace
+
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline as pipeline
-from lithospark.llm import queries
+from lithospark.llm import quality, queries
+from lithospark.llm.textkernel import CHUNK
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -71,3 +77,33 @@ def test_sql_agrees(spark, name):
     names = [d[0] for d in found.description]
     order = [names.index(c) for c in sorted(df.columns)]
     assert sorted([repr([r[c] for c in sorted(df.columns)]) for r in df.collect()]) == sorted(repr([r[k] for k in order]) for r in found.fetchall())
+
+
+@pytest.mark.parametrize("k", range(len(pipeline.STAGES)))
+def test_stages_hand_small_batches_to_python(spark, documents, k):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [batch.num_rows], "bytes": [batch.nbytes]})
+
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    texts = spark.range(0, 9000, numPartitions=1).selectExpr("repeat('word ', 400) as text")  # 18 MB
+    try:
+        for least in ("1m", None):  # a lower limit stays
+            spark.conf.unset(limit) if least is None else spark.conf.set(limit, least)
+            pipeline.STAGES[k][1](spark, documents.limit(0), SF)
+            found = texts.mapInArrow(sizes, "rows long, bytes long").collect()
+            assert sum(r.rows for r in found) == 9000 and max(r.bytes for r in found) <= (CHUNK if least is None else 1.1 * 2**20)
+    finally:
+        spark.conf.unset(limit)
+
+
+def test_classifier_takes_statistics_of_little_text_at_once():
+    texts = pa.array(["Some words, and some more of them. " * 120] * 1000)  # 4 MB
+    model = SimpleNamespace(value=quality.Trees(0.0, np.zeros((0, 0), int), np.zeros((0, 0)), np.zeros((0, 0))))
+    tracemalloc.start()
+    try:
+        scored = list(quality._score(model, "text")(iter([pa.RecordBatch.from_pydict({"text": texts})])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(b.num_rows for b in scored) == 1000 and peak < 60e6
